@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, sharding
-from .common import table
+from . import ann, bpe, exact_dedup, language_id, licenses, mixing, near_dedup, quality, sharding, url_filter
+from .common import held_out, table
 
 #: Found beside the installed tokenizer files; a parameter of every call.
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +28,22 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return bpe.encoded(docs, path or vocabulary_path(), emit, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predictions(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -39,6 +56,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -47,7 +68,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op5_bpe, op6_mixing, op8_near_dedup, op9_exact_dedup)
+    f.__name__: f
+    for f in (op1_language_id, op2_url_filter, op3_quality, op4_sharding, op5_bpe, op6_mixing, op7_ann, op8_near_dedup, op9_exact_dedup, op10_licenses)
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}

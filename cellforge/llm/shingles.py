@@ -34,9 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word in data; begins: where documents start."""
-    inside = ~_SEPARATOR[data]
+def words_of(data: np.ndarray, begins: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, last byte) of each word in data, PIECE bytes at most; begins: where documents start."""
+    inside = ~separator[data]
     after = np.empty(len(data), bool)  # a word may start here
     after[0] = True
     np.logical_not(inside[:-1], out=after[1:])
@@ -48,7 +48,7 @@ def _words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = np.flatnonzero(inside & ends)
     sums = np.cumsum(_BYTE[data] * _power_table("up")[: len(data)])
     h = sums[last] - np.where(first > 0, sums[first - 1], _U(0))
-    return mix(h * _power_table("down")[first] + (last - first).astype(np.uint64)), first
+    return mix(h * _power_table("down")[first] + (last - first).astype(np.uint64)), first, last
 
 
 def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -64,7 +64,7 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             for _ in range(i, j):
                 yield np.empty(0, np.uint64)
         elif high - low <= PIECE:
-            hashes, first = _words(data[low:high], offsets[i:j] - low)
+            hashes, first, _ = words_of(data[low:high], offsets[i:j] - low)
             cuts = np.searchsorted(first, offsets[i : j + 1] - low)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield hashes[a:b]
@@ -74,7 +74,7 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
                 end = min(low + PIECE, high)
                 if end < high and (found := np.flatnonzero(_SEPARATOR[data[low:end]])).size:
                     end = low + int(found[-1]) + 1
-                parts.append(_words(data[low:end], np.zeros(1, np.int64))[0])
+                parts.append(words_of(data[low:end], np.zeros(1, np.int64))[0])
                 low = end
             yield np.concatenate(parts)
         i = j
