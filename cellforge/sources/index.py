@@ -34,37 +34,39 @@ def build(spark: SparkSession, path: str, headers: int | None = None, split_byte
     format, count = header_rows_for(path, headers)
     splits = plan_splits(spark, path, format, count, split_bytes)
     open_table(spark, path, headers, splits=splits).df.write.format("noop").mode("overwrite").save()
-    body = {"version": VERSION, "headers": count, "stamp": _stamp(path), "splits": [list(vars(s).values()) for s in splits]}
+    body = {"version": VERSION, "headers": count, "split_bytes": split_bytes, "stamp": _stamp(path), "splits": [list(vars(s).values()) for s in splits]}
     text = json.dumps(body)
     write_whole(index_path(path), [json.dumps({"sum": hashlib.sha256(text.encode()).hexdigest(), "body": text}).encode()])
     return splits
 
 
-def load(path: str, headers: int | None = None) -> list[Split] | None:
-    """The splits, if the index is whole and the file is as it was."""
+def _body(path: str, headers: int | None) -> dict | None:
     try:
         with open(index_path(path), encoding="utf-8") as f:
             outer = json.load(f)
         body = json.loads(outer["body"])
         fits = hashlib.sha256(outer["body"].encode()).hexdigest() == outer["sum"] and body["version"] == VERSION
         if fits and body["stamp"] == _stamp(path) and body["headers"] == header_rows_for(path, headers)[1]:
-            return [Split(*s) for s in body["splits"]]
+            return body
     except (OSError, ValueError, KeyError, TypeError):
         pass
     return None
 
 
+def load(path: str, headers: int | None = None) -> list[Split] | None:
+    """The splits, if the index is whole and the file is as it was."""
+    body = _body(path, headers)
+    return [Split(*s) for s in body["splits"]] if body else None
+
+
 def verify(spark: SparkSession, path: str, headers: int | None = None) -> None:
     """Derives all splits again and compares them with the index."""
-    known = load(path, headers)
-    if known is None:
+    body = _body(path, headers)
+    if body is None:
         raise EngineError("index", "there is no index that fits the file", "沒有與檔案相符的索引")
     format, count = header_rows_for(path, headers)
-    span = max((s.stop - s.start for s in known), default=1)
-    for size in {span, SPLIT_BYTES, *(s.start for s in known[1:2])}:
-        if plan_splits(spark, path, format, count, size) == known:
-            return
-    raise EngineError("index", "the index does not describe the file", "索引與檔案內容不符")
+    if plan_splits(spark, path, format, count, body["split_bytes"]) != [Split(*s) for s in body["splits"]]:
+        raise EngineError("index", "the index does not describe the file", "索引與檔案內容不符")
 
 
 def open_indexed(spark: SparkSession, path: str, headers: int | None = None, use_index: bool = True, **options) -> Table:

@@ -149,7 +149,7 @@ class StrictReader(DataSourceReader):
     @staticmethod
     def _batch(block: list, names: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [*(pa.array([getattr(r, k) for r in block], pa.int64()) for k in names[:3]), pa.array([r.fields for r in block], pa.list_(pa.binary())), pa.array([r.raw for r in block], pa.binary())], names=names
+            [*(pa.array([getattr(r, k) for r in block], pa.int64()) for k in ("number", "line", "offset")), pa.array([r.fields for r in block], pa.list_(pa.binary())), pa.array([r.raw for r in block], pa.binary())], names=names
         )
 
 
