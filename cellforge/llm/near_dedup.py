@@ -6,6 +6,10 @@ share a 128-bit fingerprint), and only one document of a class goes on. Classes
 are candidates; every link is confirmed on the full sets. At the threshold, a pair misses all
 bands with probability (1 - 0.75^4)^40, about 2e-7.
 
+Each set also has an odd sketch: 1024 parities of its members' hashes. Two sketches never differ in
+more bits than their sets in members, so a pair whose sketches differ too much for the threshold is
+no link, for certain; only pairs that pass are sent to the full sets.
+
 A bucket is never expanded into all pairs. First each document is held against the smallest id
 among its buckets' members, then against the smallest of each bucket, and components are formed.
 Only buckets whose members still lie in different components go on: a growing random choice of
@@ -35,7 +39,8 @@ from .shingles import mix, shingle_set, word_hashes
 BANDS, ROWS = 40, 4
 PERMUTATIONS = BANDS * ROWS // 2
 PERCENT = 75
-GROWTH = 16
+FIRST, GROWTH = 16, 256
+SKETCH = 1024
 _rng = np.random.default_rng(0xB0B)
 _A = (_rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
@@ -59,14 +64,20 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix((rows * _FOLD).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the members in each of SKETCH hash cells, as SKETCH / 64 integers."""
+    cells = ((shingles >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, n (set size), f1, f2 (fingerprint of the set), bands, for docs (id, text)."""
+    """id, n (set size), f1, f2 (fingerprint of the set), bands, sketch, for docs (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                n, f1, f2, bands, ends = [], [], [], [np.empty(0, np.uint64)], [0]
+                n, f1, f2, bands, ends, sketches = [], [], [], [np.empty(0, np.uint64)], [0], [np.empty(0, np.int64)]
                 for words in word_hashes(batch.column(1)):
                     s = shingle_set(words)
                     n.append(len(s))
@@ -74,14 +85,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                     f2.append(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64))
                     if len(s):
                         bands.append(band_keys(s))
+                    sketches.append(odd_sketch(s))
                     ends.append(ends[-1] + (BANDS if len(s) else 0))
                 flat = pa.array(np.concatenate(bands).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                    names=["id", "n", "f1", "f2", "bands"],
+                    [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sketches)), SKETCH // 64).cast(pa.list_(pa.int64()))],
+                    names=["id", "n", "f1", "f2", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -108,9 +120,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(linked).select("a", "b")
 
 
-def _fits(one: str, other: str):
-    """Sets can only be similar enough if their sizes are."""
-    return 100 * F.least(one, other) >= PERCENT * F.greatest(one, other)
+def _may_link(n: str, sketch: str, other_n: str, other_sketch: str):
+    """False only for pairs that cannot be similar enough: by their sizes, or by more differing
+    members than (n + other_n) * (100 - PERCENT) / (100 + PERCENT)."""
+    sizes = 100 * F.least(n, other_n) >= PERCENT * F.greatest(n, other_n)
+    differ = sum((F.bit_count(F.col(sketch)[i].bitwiseXOR(F.col(other_sketch)[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return sizes & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(n) + F.col(other_n)))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,15 +136,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
     several = written(classes.where("rep < most").drop("most"), "classes")
     extra = known.join(several, ["f1", "f2", "n"], "left").where("rep is not null and id <> rep").select("id", "f1", "f2", "n")
-    members = known.join(extra, ["id", "f1", "f2", "n"], "left_anti").select("id", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size"))
-    buckets = buckets.where("c.id < most").select("key", F.col("c.id").alias("center"), F.col("c.n").alias("center_n"), "size")
+    members = known.join(extra, ["id", "f1", "f2", "n"], "left_anti").select("id", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size"))
+    buckets = buckets.where("center < most").drop("most")
     cand = written(members.join(buckets, "key"), "candidates")
     nodes = cand.select("id").distinct()
+    faces = written(known.join(nodes, "id", "left_semi").select("id", "n", "sketch").distinct(), "sketches")
     sets = written(shingle_sets(rows.join(nodes, "id", "left_semi")).distinct(), "sets")
 
-    star = cand.where((F.col("id") > F.col("center")) & _fits("n", "center_n")).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    star = written(star, "star")
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that their sketches allow to be links."""
+        left, right = faces.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), faces.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+        return pairs.join(left, "a").join(right, "b").where(_may_link("na", "ka", "nb", "kb")).select("a", "b").distinct()
+
+    star = cand.where("id > center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    star = written(near(star), "star")
     pairs = written(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     # A doc_id with several texts belongs to the classes of all of them.
     twice = known.groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("id")
@@ -144,7 +165,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         far = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         return written(far.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
 
-    done, most, pairs = 0, 0, apart(star)
+    done, pairs = 0, apart(star)
     while True:
         if pairs.limit(1).count():
             new = written(_confirmed(pairs, sets), "links")
@@ -152,14 +173,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if new.limit(1).count():
                 links = links.union(new)
                 comp = components(links)
-        marked = cand.where("size > 2 and id <> center").join(comp, "id", "left").select("key", "id", "n", "size", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("key", "id"), F.col("size")).alias("rank"))
+        marked = cand.where("size > 2 and id <> center").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("key", "id"), F.col("size")).alias("rank"))
         split = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top >= {done}").select("key")
         open_ = written(marked.where(f"rank >= {done}").join(split, "key"), "open")
         if not open_.limit(1).count():
             break
-        most = done + GROWTH if not done else done * GROWTH
-        chosen = open_.where(f"rank < {most}").select("key", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"))
-        met = chosen.join(open_, "key").where((F.col("comp") != F.col("ci")) & _fits("n", "ni"))
+        most = done * GROWTH or FIRST
+        held = open_.join(faces, "id")
+        chosen = held.where(f"rank < {most}").select("key", F.col("n").alias("ni"), F.col("id").alias("i"), F.col("sketch").alias("ki"), F.col("comp").alias("ci"))
+        met = chosen.join(held, "key").where((F.col("comp") != F.col("ci")) & _may_link("n", "sketch", "ni", "ki"))
         pairs = apart(met.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct())
         done = most
 

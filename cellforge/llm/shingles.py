@@ -86,7 +86,7 @@ def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
     if n == 0:
         return words
     if n < width:
-        return mix(np.array([(words * _PLACE[:n]).sum() + _U(n) * _PLACE[7]], np.uint64))
+        return mix(np.concatenate([words * _PLACE[:n], np.array([n], np.uint64) * _PLACE[7]]).sum(keepdims=True))
     out = words[: n - width + 1] * _PLACE[0]
     for k in range(1, width):
         out = out + words[k : n - width + 1 + k] * _PLACE[k]
