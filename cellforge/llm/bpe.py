@@ -162,6 +162,11 @@ class ForcedBoundaryBPE:
             out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(map(self.decoded.__getitem__, pieces))))
         return out
 
+    def forget(self) -> None:
+        """Empties the caches, so that an idle worker does not hold them."""
+        for cache in (self.ids, self.decoded, self.parts):
+            cache.clear()
+
     def both(self, text: str | None) -> tuple[int, str, str]:
         return self.batch([text])[0]
 
@@ -176,7 +181,7 @@ _loaded: dict[str, ForcedBoundaryBPE] = {}
 
 
 def encoder(path: str) -> ForcedBoundaryBPE:
-    """One for each Python worker, so that its cache lives on from batch to batch."""
+    """One for each Python worker; its caches live from batch to batch and end with the task."""
     if path not in _loaded:
         _loaded[path] = ForcedBoundaryBPE(path)
     return _loaded[path]
@@ -199,15 +204,21 @@ def encoded(docs: DataFrame, path: str, emit: Emit | None = None, schema: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
+        coder = encoder(path)
         gc.freeze()  # the vocabulary and the caches hold no cycles
         gc.disable()
-        coder = encoder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [emit(*r) for r in coder.batch(part.column(1).to_pylist())]
-                columns = zip(*made, strict=True)
-                arrays = [part.column(0).cast(shape[0].type), *(pa.array(list(c), f.type) for c, f in zip(columns, list(shape)[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=shape)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    made = [emit(*r) for r in coder.batch(part.column(1).to_pylist())]
+                    columns = zip(*made, strict=True)
+                    arrays = [part.column(0).cast(shape[0].type), *(pa.array(list(c), f.type) for c, f in zip(columns, list(shape)[1:], strict=True))]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=shape)
+        finally:  # the worker goes on to other tasks
+            coder.forget()
+            gc.unfreeze()
+            gc.enable()
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, out)
