@@ -51,6 +51,19 @@ def words_of(data: np.ndarray, begins: np.ndarray, separator: np.ndarray = _SEPA
     return mix(h * _power_table("down")[first] + (last - first).astype(np.uint64)), first, last
 
 
+def _long_word(data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, int]:
+    """(hash, end) of the one word that starts at low and fills PIECE bytes or more: the hashes of its
+    parts, cut from its own start, folded in order. A word of PIECE bytes at most has its usual hash."""
+    folded = None
+    while low < high and not _SEPARATOR[data[low]]:
+        cut = np.flatnonzero(_SEPARATOR[data[low : min(low + PIECE, high)]])
+        end = low + int(cut[0]) if cut.size else min(low + PIECE, high)
+        part = words_of(data[low:end], np.zeros(1, np.int64))[0]
+        folded = part if folded is None else mix(folded * _U(_STEP) + part)
+        low = end
+    return folded, low
+
+
 def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
     """For each text (null: none) the hashes of its words, A-Z as a-z."""
     texts = texts.cast(pa.large_binary())
@@ -68,12 +81,17 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             cuts = np.searchsorted(first, offsets[i : j + 1] - low)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield hashes[a:b]
-        else:  # one long text, in parts that end at a separator; a longer word is hashed in parts
+        else:  # one long text, in parts that end at a separator
             parts = []
             while low < high:
                 end = min(low + PIECE, high)
-                if end < high and (found := np.flatnonzero(_SEPARATOR[data[low:end]])).size:
-                    end = low + int(found[-1]) + 1
+                if end < high:
+                    cut = np.flatnonzero(_SEPARATOR[data[low:end]])
+                    if not cut.size:
+                        long, low = _long_word(data, low, high)
+                        parts.append(long)
+                        continue
+                    end = low + int(cut[-1]) + 1
                 parts.append(words_of(data[low:end], np.zeros(1, np.int64))[0])
                 low = end
             yield np.concatenate(parts)

@@ -182,6 +182,25 @@ def test_near_dedup_of_one_large_loose_group(spark):
     assert got == comp
 
 
+def test_words_longer_than_a_piece_are_one_word(monkeypatch):
+    import pyarrow as pa
+
+    from cellforge.llm import shingles
+
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 5, 63, 64, 65, 127, 128, 129, 200, 300) for _ in range(3)]
+    words += [words[-1], words[-1][:-1] + "c", words[8], words[-4]]
+    texts = [" ".join(rng.sample(words, len(words))) + rng.choice(["", " ", "\n\n"]) for _ in range(40)] + [None, words[-1], words[8]]
+    seen = {}
+    for text, hashes in zip(texts, shingles.word_hashes(pa.array(texts)), strict=True):
+        own = WORD.findall(text or "")
+        assert len(own) == len(hashes)
+        for word, h in zip(own, hashes.tolist(), strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen) == len(set(words))
+
+
 def test_odd_sketch_never_rules_out_a_link():
     rng = np.random.default_rng(1)
     for _ in range(200):
