@@ -188,6 +188,7 @@ def test_words_longer_than_a_piece_are_one_word(monkeypatch):
     from cellforge.llm import shingles
 
     monkeypatch.setattr(shingles, "PIECE", 64)
+    monkeypatch.setattr(shingles, "_powers", {})  # tables of the patched size stay here
     rng = random.Random(6)
     words = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 5, 63, 64, 65, 127, 128, 129, 200, 300) for _ in range(3)]
     words += [words[-1], words[-1][:-1] + "c", words[8], words[-4]]
