@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,7 @@ class ForcedBoundaryBPE:
     def __init__(self, path: str, cache: int = CACHE) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory of its own
         self.tok = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
