@@ -4,11 +4,17 @@ A bounded sample of the vectors is split in two again and again until every part
 `list_rows` vectors: the centroids. Every vector is posted to its nearest centroid, and boundary
 vectors also to others that are nearly as near, unless a chosen centroid is nearer to that centroid
 than the vector is. A query finds its nearest centroids by a best-first walk over an in-memory
-graph of centroids, keeps those whose distance is within a ratio of the nearest, and is compared
-with the vectors posted there; distances are taken on the original vectors in double precision.
+graph of centroids (or by all distances, where it wants a good share of them) and is compared with
+the vectors posted there; distances are taken on the original vectors in double precision.
 
-Lists longer than `part_rows` are searched in parts, and queries that ask one list in groups of
-`part_rows`, so a task holds two bounded blocks. Of equal vectors only the k + 1 smallest ids can
+How many lists a query opens is measured, not fixed: `TRIAL_QUERIES` of the queries at most, chosen
+by hash, are answered by brute force, and the count is the smallest at which the lists hold `RECALL`
+of their true neighbours, `LEAST_PROBES` at least. On vectors without clusters that is a good share
+of all lists, so the work then grows like brute force; the share found is not below the target.
+
+Short lists are searched together, as many as hold `part_rows` vectors, and a query finds its nearest
+of all it asks there at once; longer lists are searched in parts, and queries that ask one block in
+groups of `part_rows`, so a task holds two bounded blocks. Of equal vectors only the k + 1 smallest ids can
 be among k nearest (ties go to the smaller id), so only those are posted: a vector that is a third
 of the table costs k + 1 rows. Equal query vectors are searched once.
 
@@ -38,7 +44,7 @@ LIST_ROWS = 256
 MOST_LISTS = 16_384
 PART_ROWS = 4096
 REPLICAS, BOUNDARY = 4, 1.1
-MOST_PROBES, RATIO = 64, 1.35
+LEAST_PROBES, RECALL, TRIAL_QUERIES = 64, 0.99, 256
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -58,6 +64,10 @@ class Lists:
 
     def walk(self, q: np.ndarray, wanted: int) -> list[tuple[float, int]]:
         """The `wanted` nearest centroids that a best-first walk over the graph finds, nearest first."""
+        if 4 * wanted >= len(self.centers):
+            d = np.sqrt(((self.centers - q) ** 2).sum(axis=1))
+            order = np.argsort(d, kind="stable")[:wanted]
+            return list(zip(d[order].tolist(), order.tolist(), strict=True))
         width = max(2 * wanted, 64)
         d = np.sqrt(((self.centers[self.entries] - q) ** 2).sum(axis=1))
         seen = set(self.entries.tolist())
@@ -159,27 +169,97 @@ def posted(v: DataFrame, shared, replicas: int = REPLICAS, boundary: float = BOU
     return v.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "list int, id long, v array<double>")
 
 
-def asked(queries: DataFrame, shared, sizes: dict[int, int], wanted: int, probes: int = MOST_PROBES, ratio: float = RATIO) -> DataFrame:
-    """(list, q, v): the lists that each query vector (q, v) is compared with."""
+def true_neighbours(v: DataFrame, q: np.ndarray, k: int) -> DataFrame:
+    """(row, id): the k nearest of all of v for each row of q, by brute force."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ids, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            if batch.num_rows:
+                new = block_nearest(q, _stacked(batch.column(1)), batch.column(0).to_numpy(), k)
+                rows, ids, score = (np.concatenate(two) for two in zip((rows, ids, score), new, strict=True))
+                order = np.lexsort((ids, score, rows))
+                rows, ids, score = rows[order], ids[order], score[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, ids, score = (part[place < k] for part in (rows, ids, score))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ids), pa.array(score)], names=["row", "id", "score"])
+
+    found = v.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "row long, id long, score double")
+    order = F.row_number().over(W.partitionBy("row").orderBy("score", "id"))
+    return found.withColumn("n", order).where(F.col("n") <= k).select("row", "id", "n")
+
+
+def probes_for(kinds: DataFrame, some: DataFrame, postings: DataFrame, index: Lists, k: int, recall: float = RECALL, trials: int = TRIAL_QUERIES, seed: int = 31) -> int:
+    """How many lists a query must open so that `recall` of the true neighbours of the trial queries are met."""
+    lists = len(index.centers)
+    least = min(LEAST_PROBES, lists)
+    if least == lists:
+        return lists
+    trial = kinds.orderBy(F.xxhash64(F.lit(seed), "q"), "q").limit(trials).collect()
+    if not trial:
+        return least
+    q = np.array([r["v"] for r in trial], np.float64)
+    pairs: list[tuple[int, int]] = []
+    met = [0] * len(trial)
+    for r in true_neighbours(some, q, k + 1).orderBy("row", "n").collect():  # trials x (k + 1) rows
+        if r["id"] != trial[r["row"]]["q"] and met[r["row"]] < k:
+            met[r["row"]] += 1
+            pairs.append((r["row"], r["id"]))
+    if not pairs:
+        return least
+    ids = some.sparkSession.createDataFrame(sorted({(i,) for _, i in pairs}), "id long")
+    held: dict[int, list[int]] = {}
+    for r in postings.join(F.broadcast(ids), "id").select("id", "list").collect():  # REPLICAS rows an id at most
+        held.setdefault(r["id"], []).append(r["list"])
+
+    def ranks(probes: int) -> list[int]:
+        found = [{c: n for n, (_, c) in enumerate(index.walk(x, probes), 1)} for x in q]
+        return sorted(min(found[row].get(c, lists + 1) for c in held[i]) for row, i in pairs)
+
+    last = -(-int(recall * 10_000) * len(pairs) // 10_000) - 1
+    probes = max(least, ranks(lists)[last])
+    while probes < lists and ranks(probes)[last] > probes:  # the walk over the graph may miss some
+        probes = min(lists, probes + probes // 4)
+    return probes
+
+
+def blocks_of(sizes: dict[int, int]) -> dict[int, int]:
+    """The block of each list: as many lists as hold PART_ROWS vectors, or one longer list alone."""
+    out: dict[int, int] = {}
+    at, held = 0, 0
+    for c, n in sorted(sizes.items()):
+        if held and held + n > PART_ROWS:
+            at, held = at + 1, 0
+        out[c], held = at, held + n
+    return out
+
+
+def asked(queries: DataFrame, shared, sizes: dict[int, int], blocks: dict[int, int], wanted: int, probes: int) -> DataFrame:
+    """(block, q, lists, v): the lists that each query vector (q, v) is compared with, a row for each block:
+    the `probes` nearest, and more until they hold `wanted` vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            rows, lists = [], []
+            rows, where, lists = [], [], []
             for i, x in enumerate(_stacked(batch.column(1))):
-                held, limit = 0, None
-                for d, c in index.walk(x, len(index.centers) if len(index.centers) <= probes else probes):
-                    limit = limit if limit is not None else ratio * d
-                    if d > limit and held >= wanted:
+                held, near = 0, index.walk(x, probes)
+                if sum(sizes.get(c, 0) for _, c in near) < wanted:
+                    near = index.walk(x, len(index.centers))
+                mine: dict[int, list[int]] = {}
+                for n, (_, c) in enumerate(near):
+                    if n >= probes and held >= wanted:
                         break
                     if sizes.get(c):
                         held += sizes[c]
-                        rows.append(i)
-                        lists.append(c)
+                        mine.setdefault(blocks[c], []).append(c)
+                rows += [i] * len(mine)
+                where += mine.keys()
+                lists += mine.values()
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], names=["list", "q", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), batch.column(0).take(take), pa.array(lists, pa.list_(pa.int32())), batch.column(1).take(take)], names=["block", "q", "lists", "v"])
 
-    return queries.select("q", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "list int, q long, v array<double>")
+    return queries.select("q", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "block int, q long, lists array<int>, v array<double>")
 
 
 def block_nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,32 +290,54 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     empty = v.where("false").select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
     if not total:
         return empty
-    shared = vectors.sparkSession.sparkContext.broadcast(fit(some, total))  # MOST_LISTS centroids at most
+    index = fit(some, total)
+    shared = vectors.sparkSession.sparkContext.broadcast(index)  # MOST_LISTS centroids at most
     postings = written(posted(some, shared), "postings")
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each list
     queries = v.where(F.col("id") % every == 0)
     kinds = queries.groupBy("v").agg(F.min("id").alias("q"))
-    probes = written(asked(kinds, shared, sizes, 2 * REPLICAS * (k + 1)), "probes")
-    asks = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    count = probes_for(kinds, some, postings, index, k)
+    blocks = blocks_of(sizes)
+    probes = written(asked(kinds, shared, sizes, blocks, 2 * REPLICAS * (k + 1), count), "probes")
+    asks = {r["block"]: r["n"] for r in probes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not asks:
         return empty
-    parts = [(c, -(-n // PART_ROWS), -(-asks[c] // PART_ROWS)) for c, n in sizes.items() if c in asks]
-    facts = F.broadcast(vectors.sparkSession.createDataFrame(parts, "list int, parts int, groups int"))  # a row for each list
+    rows_in: dict[int, int] = {}
+    for c, n in sizes.items():
+        rows_in[blocks[c]] = rows_in.get(blocks[c], 0) + n
+    parts = [(c, b, -(-rows_in[b] // PART_ROWS), -(-asks[b] // PART_ROWS)) for c, b in blocks.items() if b in asks]
+    facts = F.broadcast(vectors.sparkSession.createDataFrame(parts, "list int, block int, parts int, groups int"))  # a row for each list
 
     def dealt(rows: DataFrame, own: str, other: str, own_name: str, other_name: str, key: str) -> DataFrame:
-        rows = rows.join(facts, "list").withColumn(own_name, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        rows = rows.withColumn(own_name, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
         return rows.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    left = dealt(probes, "groups", "parts", "g", "p", "q").select("list", "p", "g", "q", "v")
-    right = dealt(postings, "parts", "groups", "p", "g", "id").select("list", "p", "g", "id", "v")
+    one = F.broadcast(facts.drop("list").distinct())
+    left = dealt(probes.join(one, "block"), "groups", "parts", "g", "p", "q").select("block", "p", "g", "q", "lists", "v")
+    right = dealt(postings.join(facts, "list"), "parts", "groups", "p", "g", "id").select("block", "p", "g", "list", "id", "v")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        rows, ids, score = block_nearest(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), b["id"].to_numpy(), k + 1)
-        return pd.DataFrame({"q": a["q"].to_numpy()[rows], "id": ids, "score": score})
-
-    on = ["list", "p", "g"]
+            return none
+        b = b.sort_values(["list", "id"])
+        x, ids = np.stack(b["v"].to_numpy()), b["id"].to_numpy()
+        held, starts = np.unique(b["list"].to_numpy(), return_index=True)
+        ranges = {int(c): np.arange(s, e) for c, s, e in zip(held, starts, [*starts[1:], len(b)], strict=True)}
+        replicated = len(np.unique(ids)) < len(ids)
+        made = []
+        for q, lists, v in zip(a["q"], a["lists"], a["v"], strict=True):
+            at = [ranges[c] for c in lists if c in ranges]
+            if not at:
+                continue
+            at = np.concatenate(at)
+            if replicated:
+                at = at[np.unique(ids[at], return_index=True)[1]]
+            _, near, score = block_nearest(v[None], x[at] if len(at) < len(x) else x, ids[at] if len(at) < len(x) else ids, k + 1)
+            made.append(pd.DataFrame({"q": q, "id": near, "score": score}))
+        return pd.concat(made) if made else none
+
+    on = ["block", "p", "g"]
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(compare, "q long, id long, score double")
     found = found.groupBy("q", "id").agg(F.min("score").alias("score"))
     few = F.row_number().over(W.partitionBy("q").orderBy("score", "id"))

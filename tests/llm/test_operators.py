@@ -312,6 +312,24 @@ def test_ann(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_ann_recall_with_many_lists(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    y = rng.normal(size=(20_000, 64))
+    y /= np.sqrt((y**2).sum(axis=1))[:, None]  # no clusters, and more than 64 lists
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(y)), "embedding": pa.array(list(y), pa.list_(pa.float64()))}))
+    got = collections.defaultdict(set)
+    for r in ann.nearest(table).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(y), 100):
+        d = ((y - y[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.98 * 10 * len(got) and len(got) == 200
+
+
 def test_licenses(spark, docs):
     filler = " ".join(f"word{i}" for i in range(300))
     texts = {
