@@ -118,8 +118,16 @@ class ForcedBoundaryBPE:
 
     def _pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text; a special token is a piece of its own, in NUL marks."""
-        if self.any_special and "<" in text and (m := self.any_special.search(text)):
-            return [*self._pieces(text[: m.start()]), f"\0{m[0]}\0", *self._pieces(text[m.end() :])]
+        out, at = [], 0
+        if self.any_special and "<" in text:
+            for m in self.any_special.finditer(text):
+                out += self._between(text[at : m.start()])
+                out.append(f"\0{m[0]}\0")
+                at = m.end()
+        return out + self._between(text[at:])
+
+    def _between(self, text: str) -> list[str]:
+        """Pre-tokens of a text that holds no special token."""
         if PLAIN.fullmatch(text):
             return PIECES.findall(text.lower())
         pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))

@@ -229,6 +229,15 @@ def test_bpe_equals_the_library(docs, rows, empty):
     assert queries.bpe_digests(empty).count() == 0
 
 
+def test_bpe_of_many_special_tokens():
+    from tokenizers import Tokenizer
+
+    tok, coder = Tokenizer.from_file(queries.vocabulary_path()), bpe.ForcedBoundaryBPE(queries.vocabulary_path())
+    for text in ("<|endoftext|>" * 5000, "a dump <|endoftext|> of Ω texts<|startoftext|>" * 3000 + "end"):
+        e = tok.encode(text, add_special_tokens=False)
+        assert coder.encode(text) == e.ids and coder.both(text)[2] == tok.decode(e.ids, skip_special_tokens=False)
+
+
 def test_language_id(spark, docs, rows, empty):
     model = language_id.fit(docs)
     assert model.languages == ["de", "en"] and (model.weights == 0).mean() > 0.5
