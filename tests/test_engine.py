@@ -78,6 +78,17 @@ def test_context(spark, tmp_path):
     assert '"match":true' in out(spark, input=str(p), contains="hit", after=1, json=True)
 
 
+def test_context_query_takes_every_hit(spark, tmp_path):
+    from cellforge import queries
+
+    n, hits = 40, {3, 4, 9, 14, 30, 40}
+    rows = [(i * 10, "F", "1-URGENT" if i in hits else "2-HIGH") for i in range(1, n + 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in queries.context_abc(spark, str(tmp_path)).collect())
+    near = sorted({j for i in hits for j in range(i - 1, i + 3) if 1 <= j <= n})
+    assert got == [(j, j in hits, j != near[0] and j - 1 not in near) for j in near]
+
+
 @pytest.mark.parametrize("split", [16, 37, 64, 1 << 20])
 def test_splits_do_not_show(spark, tmp_path, split):
     p = tmp_path / "q.csv"
