@@ -1,11 +1,13 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
+"""License scans: an index of words picks candidates, banded alignment confirms them.
 
-Texts and templates are runs of letters, digits and non-ASCII characters, A-Z as a-z. Three
-neighbouring words are hashed; of each two neighbouring hashes the smaller is kept (winnowing), so
-four words that agree always share a fingerprint. The kept hashes of all templates are an inverted
-index, small enough to travel with the task. Hits that lie near one diagonal are one candidate; it
-is aligned inside a band around the diagonal (+1 for a word that agrees, -1 for one left out, put in
-or changed), and reported if the words that agree are `least` of the template's.
+Texts and templates are runs of letters, digits and non-ASCII characters, A-Z as a-z. A place is a
+candidate where as many words of a template as a match needs (each as often as the template has it)
+stand within its length and twice the band; whatever is left out, put in or changed, a match that
+`least` allows is one. Longer fingerprints would miss short templates with a changed middle word.
+Around each diagonal of a candidate, those with most words first, the template is aligned inside a
+band (+1 for a word that agrees, -1 for one left out, put in or changed), and reported if the words
+that agree are `least` of the template's. Words of a match are then taken, and the rest is searched
+again, so templates that follow each other closely are found each.
 
 Results for odd input: null and empty texts match nothing. Long texts are scanned in pieces that
 overlap by twice the longest template and its band, so no match is lost at a seam; a match found in
@@ -15,7 +17,8 @@ that repeat are scanned each. Extra columns are not touched.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import PIECE, mix, words_of
+from .shingles import PIECE, words_of
 
-GRAM, WINDOW, BAND, LEAST = 3, 2, 8, 0.8
+BAND, LEAST = 8, 0.8
 #: License statements to look for: fixed texts.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -48,26 +51,6 @@ def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words_of(data, np.zeros(1, np.int64), _SEPARATOR)
 
 
-def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) kept of the hashed runs of GRAM words."""
-    n = len(words) - GRAM + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    g = words[:n].copy()
-    for k in range(1, GRAM):
-        g = mix(g) + words[k : n + k]
-    g = mix(g)
-    keep = np.zeros(n, bool)
-    if n < WINDOW:
-        keep[np.argmin(g)] = True
-    else:
-        smaller = g[1:] < g[:-1]
-        keep[1:] |= smaller
-        keep[:-1] |= ~smaller
-    where = np.flatnonzero(keep)
-    return where, g[where]
-
-
 @dataclass
 class Index:
     templates: dict[str, str]
@@ -75,42 +58,74 @@ class Index:
     words: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for name, text in self.templates.items():
-            w = _tokens(np.frombuffer(text.encode(), np.uint8))[0]
             self.names.append(name)
-            self.words.append(w)
-            for place, h in zip(*winnow(w), strict=True):
-                entries[int(h)].append((len(self.names) - 1, int(place)))
-        self.entries = dict(entries)
-        self.keys = np.array(sorted(self.entries), np.uint64)
+            self.words.append(_tokens(np.frombuffer(text.encode(), np.uint8))[0])
+        self.keys = np.unique(np.concatenate([np.empty(0, np.uint64), *self.words]))
+        self.lists = [w.tolist() for w in self.words]
+        self.member = [np.isin(self.keys, w) for w in self.words]
+        self.often = [Counter(w) for w in self.lists]
+        self.places: list[dict[int, list[int]]] = []
+        for w in self.lists:
+            at: dict[int, list[int]] = defaultdict(list)
+            for i, x in enumerate(w):
+                at[x].append(i)
+            self.places.append(dict(at))
         self.longest = max((len(t.encode()) for t in self.templates.values()), default=0)
 
-    def candidates(self, words: np.ndarray) -> dict[tuple[int, int], int]:
-        """(template, place of its first word in the text) -> hits; near diagonals are joined."""
-        where, g = winnow(words)
-        if not len(g) or not len(self.keys):
-            return {}
-        at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == g)
-        diagonals: dict[int, list[int]] = defaultdict(list)
-        for i in hit:
-            for template, place in self.entries[int(g[i])]:
-                diagonals[template].append(int(where[i]) - place)
-        out: dict[tuple[int, int], int] = {}
-        for template, ds in diagonals.items():
-            ds.sort()
-            head = ds[0]
-            for d in ds:
-                if d - head > BAND:
-                    head = d
-                out[template, head] = out.get((template, head), 0) + 1
-        return out
-
-
-def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int, int, int] | None:
-    """Best alignment of the template around text[start:] within the band: (score, words that agree,
-    first and last text word that agree). Words outside the match cost nothing in the text, -1 in the template."""
+    def matches(self, words: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
+        """(template, words that agree, first and last word) of each match."""
+        if not len(words) or not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        where = np.flatnonzero(self.keys[at] == words)
+        codes = at[where]
+        for template, w in enumerate(self.words):
+            need = max(1, int(np.ceil(least * len(w) - 1e-9)))
+            hits = where[self.member[template][codes]] if len(w) else where[:0]
+            if len(hits) < need:
+                continue
+            near = np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] < len(w) + 2 * BAND)
+            if len(near):
+                yield from ((template, *match) for match in self._found(template, words, hits, near.tolist(), need))
+
+    def _found(self, template: int, words: np.ndarray, hits: np.ndarray, near: list[int], need: int) -> Iterator[tuple[int, int, int]]:
+        """(words that agree, first, last) of each match in the windows that start at hits[near]."""
+        often, places, m = self.often[template], self.places[template], len(self.words[template])
+        taken = np.zeros(len(words), bool)
+        at = hits.tolist()
+        tried: set[tuple[int, int, int]] = set()
+        for i in near:
+            high = bisect_left(at, at[i] + m + 2 * BAND, i)
+            while not taken[at[i]]:
+                window = [(j, int(words[j])) for j in at[i:high] if not taken[j]]
+                if sum(min(n, often[x]) for x, n in Counter(x for _, x in window).items()) < need:
+                    break
+                diagonals = Counter((j - p) for j, x in window for p in places[x])
+                best = None
+                for start, _ in sorted(diagonals.items(), key=lambda d: (-d[1], d[0])):
+                    # The text that no match has taken, around a word of this diagonal.
+                    middle = next(j for j, x in window if j - start in places[x])
+                    low, end = max(0, start - BAND), min(len(words), start + m + BAND)
+                    full = np.flatnonzero(taken[low:end]) + low
+                    cut = int(np.searchsorted(full, middle))
+                    low, end = int(full[cut - 1]) + 1 if cut else low, int(full[cut]) if cut < len(full) else end
+                    if (start, low, end) in tried:
+                        continue
+                    tried.add((start, low, end))
+                    got = align(self.lists[template], words[low:end].tolist(), start - low)
+                    if got is not None and got[1] >= need:
+                        best = got[1], low + got[2], low + got[3]
+                        break
+                if best is None:
+                    break
+                taken[best[1] : best[2] + 1] = True
+                yield best
+
+
+def align(template: list[int], text: list[int], start: int) -> tuple[int, int, int, int] | None:
+    """Best alignment of the template around text[start:] within the band, the first of equals: (score,
+    words that agree, first and last text word that agree). Words outside the match cost nothing in the text, -1 in the template."""
     m, low = len(template), start - BAND
     width = 2 * BAND + 1
     none = (-(10**9), 0, 0, 0)
@@ -132,7 +147,7 @@ def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int,
                 best = max(best, (s - (f >= 0), k, f, e))
             new.append(best)
         row = new
-    best = max(row)
+    best = max(row, key=lambda x: (x[0], x[1], -x[3], x[2]))
     return best if best[1] else None
 
 
@@ -146,11 +161,7 @@ def scan(text: bytes, index: Index, least: float = LEAST) -> list[tuple[str, flo
     for low in range(0, max(len(data), 1), step):
         piece = data[low : low + PIECE]
         words, first, last = _tokens(piece)
-        for template, place in index.candidates(words):
-            got = align(index.words[template], words, place)
-            if got is None or got[1] < least * len(index.words[template]):
-                continue
-            _, agree, a, b = got
+        for template, agree, a, b in index.matches(words, least):
             key = (template, low + int(first[a]), low + int(last[b]) + 1)
             found[key] = max(found.get(key, (0.0, 0)), (agree / len(index.words[template]), agree))
         if low + PIECE >= len(data):

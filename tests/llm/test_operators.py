@@ -364,6 +364,27 @@ def test_licenses(spark, docs):
     assert licenses.license_spans(table.limit(0)).count() == 0
 
 
+def test_licenses_close_together_or_with_an_edit():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"):
+        line = licenses.TEMPLATES[name]
+        for n in (1, 2, 3, 50):
+            got = licenses.scan(" ".join([line] * n).encode(), index)
+            assert [(r[0], r[1]) for r in got] == [(name, 1.0)] * n
+            assert [r[3] for r in got] == [i * (len(line) + 1) for i in range(n)]
+        words = line.split()
+        for i in range(len(words)):
+            if name != "CC-BY-NC-4.0" or i < 3:  # the others are two words each
+                for middle in ([], ["other"]):
+                    text = " ".join(["before it", *words[:i], *middle, *words[i + 1 :], "after it"])
+                    # At most one word of 5 to 12 is not as in the template, or two in "2.0."
+                    agree = len(index.words[index.names.index(name)]) - len(licenses._tokens(np.frombuffer(words[i].encode(), np.uint8))[0])
+                    want = [name] if agree >= 0.8 * len(index.words[index.names.index(name)]) else []
+                    assert [r[0] for r in licenses.scan(text.encode(), index)] == want, text
+        for i in range(1, len(words)):  # a word put in
+            assert [r[0] for r in licenses.scan(" ".join([*words[:i], "truly", *words[i:]]).encode(), index)] == [name]
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path, monkeypatch):
     import corpus_pipeline
 
