@@ -5,8 +5,9 @@ next lower one as far as its context was followed by new symbols) are counted ov
 rule accepts or rejects, but for one in five, chosen by a hash of the URL. Those calibrate: a
 logistic curve over the difference of the two log-likelihoods, divided by the length, is fitted on
 `sample_rows` of them at most, and a URL that no rule fits is blocked where the curve passes one
-half. URLs are folded to 64 symbols, contexts of three and four symbols to 2^14 slots, so a model
-is a fixed number of counters; how much is gathered for it grows with the table.
+half. URLs are folded to 64 symbols. Orders 0 to 2 are dense counters; of orders 3 and 4 each context
+that occurs has counts of its own, so a model grows with the contexts in the table (64^5 counters at
+most). It is held in memory by the driver and by each worker that scores.
 
 Results for odd input: a null URL, or one without `://`, has an empty host and path and no rule; a
 null or empty URL has a difference of 0. Where the rules accept or reject nothing, there is nothing
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-ORDER = 4
-SLOTS = 1 << 14
+ORDER, DENSE = 4, 2  # orders up to DENSE have a counter for each context
+HELD_CELLS = 1 << 21
 SAMPLE_ROWS = 20_000
 _SYMBOLS = np.full(256, 63, np.int64)  # 63: beyond ASCII; 62: other ASCII
 _SYMBOLS[:128] = 62
@@ -55,50 +56,82 @@ def with_rule(pages: DataFrame, url: Column, rules: tuple[tuple[str, str], ...]
 
 
 def contexts(url: str | None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The symbols of a URL and, for each order, the context slot before each symbol."""
+    """The symbols of a URL and, for each order, the number of the context before each symbol."""
     s = _SYMBOLS[np.frombuffer((url or "").encode("utf-8", "surrogatepass"), np.uint8)]
     padded = np.concatenate([np.zeros(ORDER, np.int64), s])
-    n, slots = len(s), [np.zeros(len(s), np.int64)]
+    n, before = len(s), [np.zeros(len(s), np.int64)]
     key = np.zeros(n, np.int64)
     for k in range(1, ORDER + 1):
         key = key * 64 + padded[ORDER - k : ORDER - k + n]
-        slots.append(key if k <= 2 else ((key * 0x9E3779B1) >> 7) % SLOTS)
-    return s, slots
+        before.append(key)
+    return s, before
 
 
 def _sizes() -> list[int]:
-    return [64 * (1, 64, 64 * 64, SLOTS, SLOTS)[k] for k in range(ORDER + 1)]
+    """Counters of the dense orders."""
+    return [64 * 64**k for k in range(DENSE + 1)]
 
 
 def cells(url: str | None) -> np.ndarray:
-    """The counters that a URL adds one to: (order, context slot, symbol) as one number."""
-    s, slots = contexts(url)
+    """The dense counters that a URL adds one to: (order, context, symbol) as one number."""
+    s, before = contexts(url)
     base = np.cumsum([0, *_sizes()])
-    return np.concatenate([base[k] + slots[k] * 64 + s for k in range(ORDER + 1)])
+    return np.concatenate([base[k] + before[k] * 64 + s for k in range(DENSE + 1)])
+
+
+def _high(context: np.ndarray, k: int) -> np.ndarray:
+    """One number for a context of order k, above DENSE, apart from those of other orders."""
+    return context + sum(64**j for j in range(DENSE + 1, k))
+
+
+def high_cells(url: str | None) -> np.ndarray:
+    """The same for the orders above DENSE, numbered from 0."""
+    s, before = contexts(url)
+    return np.concatenate([_high(before[k], k) * 64 + s for k in range(DENSE + 1, ORDER + 1)])
 
 
 @dataclass
 class Markov:
-    """counts[k]: context slots x symbols."""
+    """counts[k]: contexts x symbols of a dense order. high: the counters above, sorted; times: their counts."""
 
     counts: list[np.ndarray]
+    high: np.ndarray
+    times: np.ndarray
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Markov:
+    def of(cls, flat: np.ndarray, high: np.ndarray | None = None, times: np.ndarray | None = None) -> Markov:
         base = np.cumsum([0, *_sizes()])
-        return cls([flat[base[k] : base[k + 1]].reshape(-1, 64).astype(np.float32) for k in range(ORDER + 1)])
+        none = np.empty(0, np.int64)
+        return cls([flat[base[k] : base[k + 1]].reshape(-1, 64).astype(np.float64) for k in range(DENSE + 1)], none if high is None else high, none if times is None else times)
 
     def __post_init__(self) -> None:
         self.totals = [c.sum(axis=1) for c in self.counts]
-        self.kinds = [(c > 0).sum(axis=1).astype(np.float32) for c in self.counts]
+        self.kinds = [(c > 0).sum(axis=1) for c in self.counts]
+        context = self.high // 64
+        self.starts = np.flatnonzero(np.diff(context, prepend=-1))
+        self.contexts = context[self.starts]
+        self.high_kinds = np.diff(self.starts, append=len(context))
+        self.high_totals = np.add.reduceat(self.times, self.starts) if len(context) else self.times
+
+    def _seen(self, k: int, before: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(total, kinds, count of the symbol) in each context of order k."""
+        if k <= DENSE:
+            return self.totals[k][before], self.kinds[k][before], self.counts[k][before, s]
+        if not len(self.contexts):
+            return (np.zeros(len(s), np.int64),) * 3
+        context = _high(before, k)
+        cell = context * 64 + s
+        at, of = (np.minimum(np.searchsorted(all_, x), len(all_) - 1) for all_, x in ((self.contexts, context), (self.high, cell)))
+        known = self.contexts[at] == context
+        return np.where(known, self.high_totals[at], 0), np.where(known, self.high_kinds[at], 0), np.where(self.high[of] == cell, self.times[of], 0)
 
     def log_likelihood(self, url: str | None) -> float:
-        s, slots = contexts(url)
+        s, before = contexts(url)
         p = np.full(len(s), 1 / 64)
         for k in range(ORDER + 1):
-            total, kinds = self.totals[k][slots[k]], self.kinds[k][slots[k]]
+            total, kinds, count = self._seen(k, before[k], s)
             known = total > 0
-            p = np.where(known, (self.counts[k][slots[k], s] + kinds * p) / np.where(known, total + kinds, 1), p)
+            p = np.where(known, (count + kinds * p) / np.where(known, total + kinds, 1), p)
         return float(np.log(p).sum())
 
 
@@ -140,27 +173,43 @@ def fit(ruled: DataFrame, url_col: str = "url", sample_rows: int = SAMPLE_ROWS,
     known = ruled.where(F.col("ruled").isNotNull() & F.col(url_col).isNotNull())
     known = known.select(F.col(url_col).alias("url"), (F.col("ruled") == "block").cast("int").alias("label"))
     apart = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(5)) == 0
+    dense = sum(_sizes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = sum(_sizes())
-        seen = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+        seen: list[list[np.ndarray]] = [[], []]
+        held = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for label in (0, 1):
+                if not seen[label]:
+                    continue
+                where, n = np.unique(np.concatenate(seen[label]), return_counts=True)
+                seen[label].clear()
+                for at in range(0, len(where), 65536):
+                    part = where[at : at + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), label, np.int32)), pa.array(part), pa.array(n[at : at + 65536])], names=["label", "cell", "n"])
+
         for batch in batches:
             for url, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                np.add.at(seen[label], cells(url), 1)
-        for label in (0, 1):
-            where = np.flatnonzero(seen[label])
-            for at in range(0, len(where), 65536):
-                part = where[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), label, np.int32)), pa.array(part), pa.array(seen[label][part])], names=["label", "cell", "n"])
+                seen[label] += [cells(url), dense + high_cells(url)]
+                held += len(seen[label][-1])
+                if held > HELD_CELLS:
+                    yield from counted()
+                    held = 0
+        yield from counted()
 
     counts = known.where(~apart).mapInArrow(run, "label int, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()  # 2 x sum(_sizes()) rows at most
+    table = counts.toArrow()  # a row for each (label, context, symbol) that occurs
     models: list[Markov | None] = [None, None]
     labels, where, n = (table.column(i).to_numpy() for i in range(3))
     for label in (0, 1):
-        flat = np.zeros(sum(_sizes()), np.int64)
-        flat[where[labels == label]] = n[labels == label]
-        models[label] = Markov.of(flat) if flat.any() else None
+        order = np.flatnonzero(labels == label)
+        order = order[np.argsort(where[order])]
+        cell, times = where[order], n[order]
+        cut = int(np.searchsorted(cell, dense))
+        flat = np.zeros(dense, np.int64)
+        flat[cell[:cut]] = times[:cut]
+        models[label] = Markov.of(flat, cell[cut:] - dense, times[cut:]) if flat.any() else None
     out = Filter(*models)
     if None in models:
         return out
@@ -176,7 +225,7 @@ def fit(ruled: DataFrame, url_col: str = "url", sample_rows: int = SAMPLE_ROWS,
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """id, host, path, rule, verdict, score (the chance of a block by the models alone)."""
     ruled = with_rule(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), F.col("url"), rules)
-    shared = pages.sparkSession.sparkContext.broadcast(fit(ruled))  # a fixed number of counters
+    shared = pages.sparkSession.sparkContext.broadcast(fit(ruled))  # grows with the contexts that occur
 
     @F.pandas_udf("double")
     def chance(urls):

@@ -295,6 +295,37 @@ def test_url_filter(spark):
     assert 0.5 < sum(np.exp(both)) <= 1.0001
 
 
+def test_url_contexts_have_counts_of_their_own(spark):
+    def probabilities(urls, url):
+        """P(url) by the exact counts, in plain Python."""
+        seen = collections.defaultdict(collections.Counter)
+        padded = lambda u: [0] * 4 + url_filter._SYMBOLS[np.frombuffer(u.encode(), np.uint8)].tolist()
+        for u in urls:
+            w = padded(u)
+            for i in range(4, len(w)):
+                for k in range(5):
+                    seen[tuple(w[i - k : i])][w[i]] += 1
+        w, out = padded(url), 0.0
+        for i in range(4, len(w)):
+            p = 1 / 64
+            for k in range(5):
+                c = seen.get(tuple(w[i - k : i]))
+                p = (c[w[i]] + len(c) * p) / (c.total() + len(c)) if c else p
+            out += np.log(p)
+        return out
+
+    rng = random.Random(3)
+    urls = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(1500)]  # some 50,000 contexts
+    rows = [(u, "block" if i % 2 else "allow") for i, u in enumerate(urls)]
+    table = spark.createDataFrame(rows, "url string, ruled string")
+    apart = {r["url"] for r in table.where("pmod(xxhash64(23, url), 5) = 0").collect()}
+    got = url_filter.fit(table)
+    for model, verdict in ((got.accepted, "allow"), (got.rejected, "block")):
+        counted = [u for u, v in rows if v == verdict and u not in apart]
+        for u in [*urls[:6], "no/such?one"]:
+            assert model.log_likelihood(u) == pytest.approx(probabilities(counted, u), abs=1e-6)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(12, 16))
