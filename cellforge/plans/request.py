@@ -165,6 +165,8 @@ RULES: list[Rule] = [
     (lambda r: r.edits and r.markdown and not (r.to_markdown or r.from_markdown), "an edit with -md needs a Markdown target", "編輯搭配 -md 需要 Markdown 目標"),
     (lambda r: r.value_file and r.value_stdin, "--value-file and --value-stdin are two sources", "--value-file 與 --value-stdin 是兩個來源"),
     (lambda r: r.value_stdin and r.stdin, "standard input cannot be both table and value", "標準輸入不能同時是表格與值"),
+    (lambda r: r.stdin, "standard input as a table is not supported: use -i", "不支援以標準輸入作為表格，請用 -i"),
+    (lambda r: r.value_stdin, "--value-stdin is not supported: use --value-file", "不支援 --value-stdin，請用 --value-file"),
     (lambda r: (r.value_file or r.value_stdin) and len(r.update) != 1, "a value source goes with exactly one -update", "值來源只能搭配一個 -update"),
     (lambda r: (r.value_file or r.value_stdin) and r.update and len(r.update[0]) > 2 and r.update[0][2] is not None, "a value source replaces the literal value", "值來源不能與字面值並用"),
     (lambda r: r.dry_run and not r.edits, "--dry-run needs an edit", "--dry-run 需要編輯"),

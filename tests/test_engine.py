@@ -297,3 +297,9 @@ def test_range_reaches_the_source(spark, tmp_path):
     t = open_table(spark, str(p), split_bytes=512)
     df = t.df.where(F.col("record") >= 990)
     assert df.count() == 11 and df.rdd.getNumPartitions() < t.df.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("asked", [{"stdin": True, "headers": 1}, {"input": "a.csv", "output": "b.csv", "update": [(1, "a", None)], "value_stdin": True}])
+def test_what_is_not_done_is_refused(asked):
+    with pytest.raises(EngineError, match="not supported"):
+        validate(Request(**asked))
