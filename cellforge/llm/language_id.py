@@ -163,8 +163,8 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text", lang: str
     return found.withColumns({lang: F.col("_found.lang"), score: F.col("_found.score")}).drop("_found")
 
 
-def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those whose language is `und` or less likely than `least`."""
+def known_language(docs: DataFrame) -> DataFrame:
+    """docs without those whose language is `und`; how likely the best language is does not matter."""
     columns = docs.columns
     model = fit(docs)
-    return predictions(docs, model, lang="_lang", score="_score").where((F.col("_lang") != "und") & (F.col("_score") >= least)).select(*columns)
+    return predictions(docs, model, lang="_lang", score="_score").where(F.col("_lang") != "und").select(*columns)

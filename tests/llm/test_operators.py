@@ -251,6 +251,13 @@ def test_language_id(spark, docs, rows, empty):
     assert language_id.known_language(docs).columns == docs.columns
 
 
+def test_known_language_keeps_unlikely_languages(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "a", "en", 0.9), (2, "b", "fr", 0.3), (3, "c", "und", 0.0)], "doc_id long, text string, l string, s double")
+    monkeypatch.setattr(language_id, "fit", lambda docs: None)
+    monkeypatch.setattr(language_id, "predictions", lambda docs, model, lang, score: docs.withColumns({lang: F.col("l"), score: F.col("s")}))
+    assert sorted(r["doc_id"] for r in language_id.known_language(d).collect()) == [1, 2]
+
+
 def test_windows_do_not_change_counts(monkeypatch):
     from cellforge.llm import features
 
