@@ -6,6 +6,9 @@ import json
 import re
 import unicodedata
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..model import EngineError, as_text
 
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
@@ -43,6 +46,22 @@ def markdown_cell(value: bytes) -> str:
     return text
 
 
+def markdown_cell_column(value: Column) -> Column:
+    """markdown_cell by built-in functions."""
+    text = F.make_valid_utf8(value.cast("string"))
+    for a, b in (("\\", "\\\\"), ("|", "\\|"), ("<br>", "\\<br>"), ("\n", "<br>"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    every = text
+    for c in (*range(0x20), 0x7F):
+        if c not in (9, 10):
+            every = F.replace(every, F.lit(chr(c)), F.lit(f"\\x{c:02X}"))
+    text = F.when(text.rlike(r"[\x00-\x1f\x7f]"), every).otherwise(text)
+    text = F.when(text.startswith(" "), F.concat(F.lit("\\x20"), F.substring(text, 2, 2**31 - 1))).otherwise(text)
+    text = F.when(text.endswith(" "), F.concat(F.left(text, F.length(text) - 1), F.lit("\\x20"))).otherwise(text)
+    first = F.when(text.startswith("-"), "\\x2D").otherwise("\\x3A")
+    return F.when(text.rlike(r"^[-:]*-[-:]*\z"), F.concat(first, F.substring(text, 2, 2**31 - 1))).otherwise(text)
+
+
 _UNESCAPED = {"\\": "\\", "|": "|", "t": "\t", "<br>": "<br>"}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import re
 from dataclasses import dataclass
 from enum import Enum
 
@@ -14,6 +15,7 @@ TWO_HEADER = "csv2"
 KEY_LABEL = b"csv2-column-encryption-v1"
 HASH_SALT = b"csv2-hash"
 ITERATIONS = 200_000
+TRAVEL = "~cell-refusal~"
 
 
 class EngineError(ValueError):
@@ -26,6 +28,16 @@ class EngineError(ValueError):
     def __reduce__(self):
         return EngineError, (self.code, self.message, self.message_zh)
 
+    def for_travel(self) -> RuntimeError:
+        """The same for a task: its text survives as the error that the driver sees."""
+        return RuntimeError(TRAVEL + json.dumps([self.code, self.message, self.message_zh]) + TRAVEL)
+
+    @classmethod
+    def arrived(cls, error: BaseException) -> EngineError | None:
+        """The refusal that a failed job carries, if any."""
+        m = re.search(f"{TRAVEL}(.*?){TRAVEL}", str(error), re.S)
+        return cls(*json.loads(m[1])) if m else None
+
     def to_json(self) -> str:
         return json.dumps({"error": {"code": self.code, "message": self.message, "message_zh": self.message_zh}}, ensure_ascii=False)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,9 @@ from ..sources.table import Table
 
 def _replaced(table: Table, new: dict[int, Column], header) -> Table:
     cells = [new.get(i, F.col("fields")[i]) for i in range(table.header.width)]
-    return Table(table.df.withColumns({"fields": F.array(*cells), "raw": F.lit(None).cast("binary")}), header, table.format, table.path)
+    raws = F.array(*(F.lit(None).cast("binary") if i in new else F.col("raws")[i] for i in range(table.header.width)))
+    df = table.df.withColumns({"fields": F.array(*cells), "raws": F.when(F.col("raws").isNotNull(), raws)})
+    return replace(table, df=df, header=header, load=None, known=table.total() if table.load else table.known)
 
 
 def _plain(table: Table, columns: list[int]) -> None:

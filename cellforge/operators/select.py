@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import json_string, report_escape
-from ..model import EngineError, Marker
+from ..model import TRAVEL, EngineError, Marker
 from ..sources.table import Table
 
+JSON_NAMED = {9: "\\t", 10: "\\n", 13: "\\r"}
+
 
 @dataclass(frozen=True)
 class Scope:
@@ -53,27 +55,35 @@ def count(df: DataFrame) -> int:
     return df.count()
 
 
-def tail(df: DataFrame, n: int, total: int | None = None, most: int = 1_000_000) -> DataFrame:
+def check_tail(n: int, most: int = 1_000_000) -> None:
     if not 1 <= n <= most:
         raise EngineError("usage", f"-tail takes a number from 1 to {most}", f"-tail 介於 1 與 {most}")
+
+
+def tail(df: DataFrame, n: int, total: int | None = None, most: int = 1_000_000) -> DataFrame:
+    check_tail(n, most)
     return df.where(F.col("record") > (count(df) if total is None else total) - n)
 
 
-def mid(df: DataFrame, first: int | None, last: int | None, total: int | None = None) -> DataFrame:
+def checked_range(first: int | None, last: int | None, total: int) -> tuple[int, int]:
     """Inclusive; either end may be open. A start past the end is an error, an end past it is not."""
     low = 1 if first is None else first
     if low < 1 or (last is not None and last < low):
         raise EngineError("usage", "the range is empty", "範圍是空的")
-    if low > (count(df) if total is None else total):
+    if low > total:
         raise EngineError("out-of-range", f"record {low} is past the end", f"第 {low} 筆超出檔尾")
-    out = df.where(F.col("record") >= low)
-    return out if last is None else out.where(F.col("record") <= last)
+    return low, total if last is None else min(last, total)
+
+
+def mid(df: DataFrame, first: int | None, last: int | None, total: int | None = None) -> DataFrame:
+    low, high = checked_range(first, last, count(df) if total is None else total)
+    return df.where(F.col("record").between(low, high))
 
 
 def get_cell(table: Table, record: int, column: str | int) -> bytes:
     at = table.header.resolve(column)
-    found = table.df.where(F.col("record") == record).select(F.col("fields")[at]).take(1)
-    if record < 1 or not found:
+    found = table.narrowed(record, record).df.select(F.col("fields")[at]).take(1) if record >= 1 else []
+    if not found:
         raise EngineError("out-of-range", f"there is no record {record}", f"沒有第 {record} 筆")
     return bytes(found[0][0])
 
@@ -81,11 +91,11 @@ def get_cell(table: Table, record: int, column: str | int) -> bytes:
 def matches(table: Table, needle: str | bytes, scope: Scope = Scope(), normalize: bool = False, include_headers: bool = False) -> DataFrame:
     """record, line, field, value of each cell that holds the needle. Header hits have record 0."""
     want = _needle(needle, normalize)
-    df = table.df
     if scope.record is not None:
-        if scope.record < 1 or not df.where(F.col("record") == scope.record).take(1):
+        if scope.record < 1 or scope.record > table.total():
             raise EngineError("out-of-range", f"there is no record {scope.record}", f"沒有第 {scope.record} 筆")
-        df = df.where(F.col("record") == scope.record)
+        table = table.narrowed(scope.record, scope.record)
+    df = table.df if normalize else table.holding(want)
     # Records without a hit are dropped before they are taken apart.
     at = None if scope.column is None else table.header.resolve(scope.column)
     holds = lambda v: F.contains(nfc(v) if normalize else v, F.lit(want))
@@ -138,7 +148,9 @@ def filtered(table: Table, needle: str | bytes, scope: Scope = Scope(), normaliz
     """Whole records with a match."""
     want = _needle(needle, normalize)
     holds = lambda v: F.contains(nfc(v) if normalize else v, F.lit(want))
-    df = table.df if scope.record is None else table.df.where(F.col("record") == scope.record)
+    if scope.record is not None:
+        table = table.narrowed(scope.record, scope.record)
+    df = table.df if normalize else table.holding(want)
     if scope.column is not None:
         return df.where(holds(table.column(scope.column)))
     if normalize:
@@ -147,15 +159,16 @@ def filtered(table: Table, needle: str | bytes, scope: Scope = Scope(), normaliz
 
 
 def context(df: DataFrame, hits: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
-    """Records near a hit, with `match` and `gap` (true where a `--` line goes before it). The hits are
-    spread to their neighbours and joined back; no window runs over all records."""
-    near = hits.select(F.col("record").alias("hit"), F.explode(F.sequence(F.col("record") - before, F.col("record") + after)).alias("record"))
-    marked = near.groupBy("record").agg(F.max(F.col("hit") == F.col("record")).alias("match"))
-    out = df.join(marked, "record")
-    earlier = out.select((F.col("record") + 1).alias("record"), F.lit(True).alias("_joined"))
-    first = out.agg(F.min("record").alias("_first"))
-    out = out.join(earlier, "record", "left").crossJoin(F.broadcast(first))  # one row
-    return out.withColumn("gap", F.col("_joined").isNull() & (F.col("record") != F.col("_first"))).drop("_joined", "_first")
+    """Records near a hit, with `match` and `gap` (true where a `--` line goes before it). The hits are spread
+    to their neighbours, whose numbers alone say where gaps are, and df is joined to them once."""
+    low, high = F.greatest(F.col("record") - before, F.lit(1)), F.col("record") + after
+    spread = hits.select(F.col("record").alias("hit"), F.explode(F.sequence(low, high)).alias("record"))
+    marked = spread.groupBy("record").agg(F.max(F.col("hit") == F.col("record")).alias("match"))
+    earlier = marked.select((F.col("record") + 1).alias("record"), F.lit(True).alias("_joined"))
+    first = hits.agg(F.min(low).alias("_first"))
+    marked = marked.join(earlier, "record", "left").crossJoin(F.broadcast(first))  # one row
+    gap = F.col("_joined").isNull() & (F.col("record") != F.col("_first"))
+    return df.join(marked.select("record", "match", gap.alias("gap")), "record")
 
 
 def meta_json(table: Table, ascii_only: bool = False) -> str:
@@ -177,39 +190,56 @@ def record_json(table: Table, df: DataFrame, ascii_only: bool = False) -> DataFr
     names = table.header.names()
     if table.header.rows and len(set(names)) < len(names):
         raise EngineError("ambiguous", "--json keys each record by column name, and a name is there twice", "--json 以欄名作為鍵，而有欄名重複")
-    keys = [json_string(n.encode(), ascii_only) for n in names]
-    with_match = "match" in df.columns
-
-    def one(record: int, line: int, fields, match) -> str:
-        body = ",".join(f"{k}:{json_string(bytes(v), ascii_only, f'record {record}, field {i}')}" for i, (k, v) in enumerate(zip(keys, fields, strict=True), 1))
-        return f'{{"record":{record},"line":{line}' + (f',"match":{str(bool(match)).lower()}' if with_match else "") + f',"fields":{{{body}}}}}'
-
-    @F.pandas_udf("string")
-    def run(record: pd.Series, line: pd.Series, fields: pd.Series, match: pd.Series) -> pd.Series:
-        return pd.Series(list(map(one, record, line, fields, match)), dtype=object)
-
-    match = F.col("match") if with_match else F.lit(False)
-    return df.select("record", run("record", "line", "fields", match).alias("text"))
+    parts = [F.lit('{"record":'), F.col("record").cast("string"), F.lit(',"line":'), F.col("line").cast("string")]
+    if "match" in df.columns:
+        parts += [F.lit(',"match":'), F.col("match").cast("string")]
+    parts.append(F.lit(',"fields":{'))
+    for i, n in enumerate(names):
+        cell = json_text(F.col("fields")[i], ascii_only, F.col("record"), F.lit(i + 1))
+        parts += [F.lit(("," if i else "") + json_string(n.encode(), ascii_only) + ":"), cell]
+    return df.select("record", F.concat(*parts, F.lit("}}")).alias("text"))
 
 
 def hit_json(table: Table, hits: DataFrame, ascii_only: bool = False) -> DataFrame:
     """record, field, text: one JSON line for each cell that matches."""
-    rows = [[json_string(v, ascii_only, "a column name") for v in row] for row in table.header.rows]
-    labels = {"0": "0a" if len(rows) > 1 else "0", "1": "0b"}
-
-    def one(record: int, line: int, field: int, value: bytes, row: str | None) -> str:
-        parts = [f'"record":{record}', f'"field":{field}']
-        if row is not None:
-            parts.append(f'"header_row":"{labels[row]}"')
-        parts += [f'"{k}":{r[field - 1]}' for k, r in zip(("header_en", "header_zh"), rows, strict=False)]
-        return "{" + ",".join([*parts, f'"value":{json_string(bytes(value), ascii_only, f"record {record}, field {field}")}', f'"line":{line}']) + "}"
-
-    @F.pandas_udf("string")
-    def run(record: pd.Series, line: pd.Series, field: pd.Series, value: pd.Series, row: pd.Series) -> pd.Series:
-        return pd.Series(list(map(one, record, line, field, value, row.where(row.notna(), None))), dtype=object)
-
-    row = F.col("header_row") if "header_row" in hits.columns else F.lit(None).cast("string")
-    return hits.select("record", "field", run("record", "line", "field", "value", row).alias("text"))
+    parts = [F.lit('{"record":'), F.col("record").cast("string"), F.lit(',"field":'), F.col("field").cast("string")]
+    if "header_row" in hits.columns:
+        label = F.when(F.col("header_row") == "1", "0b").otherwise("0a" if len(table.header.rows) > 1 else "0")
+        parts.append(F.when(F.col("header_row").isNotNull(), F.concat(F.lit(',"header_row":"'), label, F.lit('"'))).otherwise(""))
+    for key, row in zip(("header_en", "header_zh"), table.header.rows, strict=False):
+        names = F.array(*(F.lit(json_string(v, ascii_only, "a column name")) for v in row))
+        parts += [F.lit(f',"{key}":'), names[F.col("field") - 1]]
+    value = json_text(F.col("value"), ascii_only, F.col("record"), F.col("field"))
+    return hits.select("record", "field", F.concat(*parts, F.lit(',"value":'), value, F.lit(',"line":'), F.col("line").cast("string"), F.lit("}")).alias("text"))
+
+
+def json_text(value: Column, ascii_only: bool, record: Column, field: Column) -> Column:
+    """A cell as a JSON string, by built-in functions; bytes that are not UTF-8 are refused. Only
+    --json-ascii, which needs the code units of a character, goes through Python."""
+    text = value.cast("string")
+    where = F.concat(F.lit("record "), record.cast("string"), F.lit(", field "), field.cast("string"))
+    fault = [F.lit(TRAVEL + '["malformed", "'), where, F.lit(' is not valid UTF-8, so it has no JSON form", "'), where, F.lit('不是合法的 UTF-8"]' + TRAVEL)]
+    checked = F.when(~F.is_valid_utf8(text), F.raise_error(F.concat(*fault)).cast("string"))
+    if ascii_only:
+        ascii_json = F.pandas_udf(lambda s: s.map(lambda v: json_string(v.encode(), True)), T.StringType())
+        return checked.otherwise(ascii_json(F.when(F.is_valid_utf8(text), text).otherwise("")))
+    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    every = quoted
+    for c in range(0x20):
+        every = F.replace(every, F.lit(chr(c)), F.lit(JSON_NAMED.get(c) or f"\\u{c:04x}"))
+    return checked.otherwise(F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), every).otherwise(quoted), F.lit('"')))
+
+
+def reasons(table: Table, needle: str | bytes, scope: Scope = Scope(), normalize: bool = False) -> DataFrame:
+    """For tracing: record, emitted and why, for every record."""
+    want = _needle(needle, normalize)
+    holds = lambda v: F.contains(nfc(v) if normalize else v, F.lit(want))
+    hit = F.lit(False)
+    for i in range(table.header.width) if scope.column is None else [table.header.resolve(scope.column)]:
+        hit = hit | holds(F.col("fields")[i])
+    inside = F.lit(True) if scope.record is None else F.col("record") == scope.record
+    why = F.when(~inside, "outside the search scope").when(hit, "a cell holds the needle").otherwise("no cell holds the needle")
+    return table.df.select("record", (inside & hit).alias("emitted"), why.alias("reason"))
 
 
 def page(df: DataFrame, first: int, last: int, total: int) -> DataFrame:

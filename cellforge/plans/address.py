@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
-
 from ..model import EngineError
 from ..sources.table import Table
 
@@ -37,12 +35,20 @@ class Address:
             if (number, self.sheet[1]) != (column + 1, self.record + len(table.header.rows)):
                 raise EngineError("invalid-address", f"the address claims cell {self.sheet[0]}{self.sheet[1]}, which is another", "位址聲稱的試算表儲存格不符")
         if self.line is not None:
-            found = table.df.where(F.col("record") == self.record).select("line").take(1)
+            if self.record > table.total():
+                raise EngineError("out-of-range", f"there is no record {self.record}", f"沒有第 {self.record} 筆")
+            found = table.narrowed(self.record, self.record).df.select("line").take(1)
             if not found or found[0][0] != self.line:
                 raise EngineError("invalid-address", f"the address claims line {self.line}, and record {self.record} is not there", "位址聲稱的行號不符")
         return self.record, column
 
 
+def checked_cell(table: Table, record: int, column: str | int) -> tuple[int, int]:
+    """(record, column as a number from 1) of a cell whose column may carry claims, as in `license@L3 [C3]`."""
+    at = Address.parse(f"{record}:{column}").checked(table)
+    return at[0], at[1] + 1
+
+
 def parse_range(text: str) -> tuple[int | None, int | None]:
     """`a,b`, `a,` or `,b`, inclusive; a single number is that record."""
     m = re.fullmatch(r"(\d*)(,?)(\d*)", text)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields
 
 from ..model import EngineError, Format
 
-VALUES = {"update", "update_where", "insert", "append", "contains", "add_column"}
+VALUES = {"update", "update_where", "insert", "append", "contains", "add_column", "create"}
 
 
 @dataclass
@@ -19,7 +19,9 @@ class Request:
     in_place: bool = False
     backup: bool = False
     dry_run: bool = False
-    create: bool = False
+    create: list | bool = False  # the title rows
+    trace: bool = False
+    log: str | None = None
     count: bool = False
     build_index: bool = False
     verify_index: bool = False
@@ -117,6 +119,7 @@ _verbs = lambda r: r.edits or r.transforms
 
 #: Each: when it applies, then the two messages.
 RULES: list[Rule] = [
+    (lambda r: r.create is True, "-create needs one title row, or two", "-create 需要一列或兩列標題"),
     (lambda r: r.create and not r.output, "-create needs -o", "-create 需要 -o"),
     (lambda r: r.create and (r.input or r.stdin or _verbs(r) or r.selects or r.shapes or r.count or r.in_place), "-create goes with -o alone", "-create 只能搭配 -o"),
     (lambda r: r.count and (_verbs(r) or r.selects or r.shapes or r.output or r.in_place or r.filter), "-count goes alone", "-count 必須單獨使用"),
@@ -165,10 +168,10 @@ RULES: list[Rule] = [
     (lambda r: r.edits and r.markdown and not (r.to_markdown or r.from_markdown), "an edit with -md needs a Markdown target", "編輯搭配 -md 需要 Markdown 目標"),
     (lambda r: r.value_file and r.value_stdin, "--value-file and --value-stdin are two sources", "--value-file 與 --value-stdin 是兩個來源"),
     (lambda r: r.value_stdin and r.stdin, "standard input cannot be both table and value", "標準輸入不能同時是表格與值"),
-    (lambda r: r.stdin, "standard input as a table is not supported: use -i", "不支援以標準輸入作為表格，請用 -i"),
-    (lambda r: r.value_stdin, "--value-stdin is not supported: use --value-file", "不支援 --value-stdin，請用 --value-file"),
     (lambda r: (r.value_file or r.value_stdin) and len(r.update) != 1, "a value source goes with exactly one -update", "值來源只能搭配一個 -update"),
     (lambda r: (r.value_file or r.value_stdin) and r.update and len(r.update[0]) > 2 and r.update[0][2] is not None, "a value source replaces the literal value", "值來源不能與字面值並用"),
+    (lambda r: r.trace and r.contains is None, "a trace tells why a search took a record or not: it needs -contains", "追蹤說明搜尋為何取用某筆，需要 -contains"),
+    (lambda r: r.log and r.log in (r.input, r.output, r.keyfile, r.value_file), "the log is one of the files at work", "日誌檔與處理中的檔案相同"),
     (lambda r: r.dry_run and not r.edits, "--dry-run needs an edit", "--dry-run 需要編輯"),
     (lambda r: r.dry_run and any((r.insert, r.append, r.delete, r.delete_cell, r.drop_column, r.add_column)), "--dry-run goes with -update and -update-where only", "--dry-run 只與 -update、-update-where 並用"),
     (lambda r: r.update_where and r.stdin, "-update-where reads the file twice: it needs -i", "-update-where 要讀兩次檔案，需要 -i"),

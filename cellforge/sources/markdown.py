@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict, deque
 from dataclasses import dataclass
 
 from ..functions.text import display_width, markdown_cell, markdown_unescape
@@ -85,39 +86,67 @@ def read_markdown(data: bytes, number: int | None = None, most: int = MOST_BYTES
     return header, rows, format, place, lines
 
 
-def header_cells(header: Header) -> list[str]:
-    return ["<br>".join(markdown_cell(row[i]) for row in header.rows) for i in range(header.width)]
+def header_cells(header: Header, language: str | None = None, rownum: bool = False) -> list[str]:
+    """Titles: of one language, or both in one cell."""
+    rows = header.rows if language is None or len(header.rows) < 2 else [header.rows[language == "zh"]]
+    if not header.rows:
+        raise EngineError("usage", "a Markdown table needs a header row to name its columns", "Markdown 表格需要標頭列為欄位命名")
+    names = ["<br>".join(markdown_cell(row[i]) for row in rows) for i in range(header.width)]
+    number = ["rownum", "列號"]
+    return [*(["列號" if language == "zh" else "<br>".join(number[: len(rows)])] if rownum else []), *names]
 
 
 def compact_row(cells: list[str]) -> str:
-    return "| " + " | ".join(cells) + " |"
+    return "|" + "|".join(cells) + "|"
+
+
+def compact_header(cells: list[str]) -> list[str]:
+    return [compact_row(cells), compact_row(["---"] * len(cells))]
 
 
 def compact(header: Header, rows: list[list[bytes]]) -> list[str]:
-    return [compact_row(header_cells(header)), "|" + "---|" * header.width, *(compact_row([markdown_cell(v) for v in r]) for r in rows)]
+    return [*compact_header(header_cells(header)), *(compact_row([markdown_cell(v) for v in r]) for r in rows)]
 
 
-def pretty(header: Header, rows: list[list[bytes]], most: int = MOST_BYTES) -> list[str]:
+def pretty(head: list[str], rows: list[list[str]], most: int = MOST_BYTES) -> list[str]:
     """Columns padded by display width; larger tables are refused, since all widths must be known first."""
-    cells = [[markdown_cell(v) for v in r] for r in rows]
-    if sum(len(c.encode()) for r in cells for c in r) > most:
+    if sum(len(c.encode()) for r in rows for c in r) > most:
         raise EngineError("too-large", f"--pretty holds {most} bytes of cells at most", f"--pretty 最多容納 {most} 位元組")
-    head = header_cells(header)
-    wide = [max(3, *(display_width(r[i]) for r in [head, *cells])) for i in range(header.width)]
+    wide = [max(3, *(display_width(r[i]) for r in [head, *rows])) for i in range(len(head))]
     line = lambda r: "| " + " | ".join(c + " " * (w - display_width(c)) for c, w in zip(r, wide, strict=True)) + " |"
-    return [line(head), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, cells)]
+    return [line(head), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, rows)]
+
+
+@dataclass
+class Layout:
+    """The lines that a table arrived on. A row of the same cells goes out as the line it came in on, each
+    line once, in their order; a header of the same titles keeps its line and its separator."""
+
+    header: dict[tuple[str, ...], str]
+    separator: str
+    rows: dict[tuple[str, ...], deque[str]]
+
+    @classmethod
+    def of(cls, lines: list[str], place: Place) -> Layout:
+        rows: dict[tuple[str, ...], deque[str]] = defaultdict(deque)
+        for line in lines[place.header + 2 : place.end]:
+            rows[tuple(markdown_cell(markdown_unescape(c)) for c in split_row(line))].append(line)
+        titles = tuple("<br>".join(markdown_cell(markdown_unescape(t)) for t in re.split(r"(?<!\\)<br>", c)) for c in split_row(lines[place.header]))
+        return cls({titles: lines[place.header]}, lines[place.header + 1], rows)
+
+    def head(self, cells: list[str]) -> list[str]:
+        old = self.header.get(tuple(cells))
+        return compact_header(cells) if old is None else [old, self.separator]
+
+    def row(self, cells: list[str]) -> str:
+        old = self.rows.get(tuple(cells))
+        return old.popleft() if old else compact_row(cells)
 
 
 def preserved(header: Header, rows: list[list[bytes]], lines: list[str], place: Place) -> list[str]:
-    """Compact lines, but for rows that the document already has the same: those keep their line."""
-    known: dict[tuple[bytes, ...], str] = {}
-    for at in range(place.header + 2, place.end):
-        known.setdefault(tuple(markdown_unescape(c) for c in split_row(lines[at])), lines[at])
-    old = lines[place.header]
-    new = compact_row(header_cells(header))
-    same = [c.strip() for c in split_row(old)] == header_cells(header)
-    head = [old, lines[place.header + 1]] if same else compact(header, [])
-    return [*(head if same else [new, head[1]]), *(known.get(tuple(r)) or compact_row([markdown_cell(v) for v in r]) for r in rows)]
+    """Compact lines, but for what the document already has the same."""
+    layout = Layout.of(lines, place)
+    return [*layout.head(header_cells(header)), *(layout.row([markdown_cell(v) for v in r]) for r in rows)]
 
 
 def replace_table(data: bytes, number: int, header: Header, rows: list[list[bytes]]) -> bytes:

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 
 from ..model import EngineError, Format, Header
+from .columnar import MARKDOWN_LINE, paired_quotes
 
 _CELL = re.compile(rb'"((?:[^"]|"")*)"(?=,|\Z)|((?!")[^,]*)', re.S)
 _ESCAPE = re.compile(rb"\\(.?)", re.S)
 _DECODED = {b"n": b"\n", b"r": b"\r", b"\\": b"\\"}
-_MARKDOWN = re.compile(rb"\s*\|[\s:|-]*-[\s:|-]*\|\s*")
 
 
 @dataclass
@@ -29,6 +29,12 @@ class Record:
     fields: list[bytes]
     raw: bytes
 
+    def raws(self, format: Format) -> list[bytes] | None:
+        """The cells as they stand in the file, or None where encoding gives the same bytes."""
+        if format is Format.LINES or encode(self.fields, format)[:-1] == self.raw:
+            return None
+        return raw_cells(self.raw)
+
 
 @dataclass
 class Spans:
@@ -42,10 +48,17 @@ class Spans:
 
 
 def record_spans(data: bytes, format: Format, inside: bool = False) -> Spans:
-    """Finds record ends; the cost of the walk is in the quotes, the rest is vectorised."""
+    """Finds record ends. The walk from quote to quote is for stretches with stray quotes or faults."""
     feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     if format is not Format.CSV and format is not Format.TWO:
         return Spans(feeds, False)
+    arr = np.frombuffer(data, np.uint8)
+    quotes = np.flatnonzero(arr == 34)
+    if (pairs := paired_quotes(arr, quotes, inside)) is not None:
+        opens, closes, _ = pairs
+        out = np.searchsorted(quotes, feeds) % 2 == inside
+        still = len(opens) > len(closes)
+        return Spans(feeds[out], still, int(opens[-1]) if still else -1, -1, len(feeds) - int(out.sum()))
     starts, stops, fault = [], [], -1
     at, n = 0, len(data)
     if inside:
@@ -93,6 +106,19 @@ def unescape_two(value: bytes, where: str) -> bytes:
     return _ESCAPE.sub(one, value) if b"\\" in value else value
 
 
+def raw_cells(row: bytes) -> list[bytes]:
+    """The cells of one record's bytes as they stand there; the record has been read before."""
+    if b'"' not in row:
+        return row.split(b",")
+    out, at = [], 0
+    while True:
+        m = _CELL.match(row, at)
+        out.append(m[0])
+        if m.end() == len(row):
+            return out
+        at = m.end() + 1
+
+
 def cells(row: bytes, format: Format, where: str) -> list[bytes]:
     """The decoded cells of one record's bytes, without its line ending."""
     if format is Format.LINES:
@@ -125,6 +151,12 @@ def guard(data: bytes) -> int:
     return 3 if data[:3] == b"\xef\xbb\xbf" else 0
 
 
+def check_markdown(fields: list[bytes], number: int, line: int) -> None:
+    """A table line of Markdown is no record of a CSV file, whatever the width."""
+    if len(fields) == 1 and MARKDOWN_LINE.fullmatch(fields[0]):
+        raise EngineError("malformed", f"record {number} (line {line}) is a Markdown table line inside a CSV file", f"第 {number} 筆是 CSV 檔裡的 Markdown 表格行")
+
+
 def check_width(fields: list[bytes], width: int, number: int, line: int) -> None:
     if len(fields) == width:
         return
@@ -190,8 +222,8 @@ def parse(data: bytes, format: Format, headers: int | None = None, truncate: boo
     if headers:
         header.check(Format.TWO if headers == 2 else Format.CSV)
     for r in rows:
-        if format is not Format.LINES and len(r.fields) == 1 and width > 0 and _MARKDOWN.fullmatch(r.raw):
-            raise EngineError("malformed", f"record {r.number} (line {r.line}) is a Markdown table line inside a CSV file", f"第 {r.number} 筆是 CSV 檔裡的 Markdown 表格行")
+        if format is not Format.LINES:
+            check_markdown(r.fields, r.number, r.line)
         if widths:
             check_width(r.fields, width, r.number, r.line)
     return header, rows

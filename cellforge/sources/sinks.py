@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EngineError, Format, Header
-from .parser import encode, guard, parse, parse_stretch, record_spans
+from .parser import encode, parse, parse_stretch
 from .table import Table
 
 log = logging.getLogger("cellforge")
 
 
+@contextmanager
+def refusals() -> Iterator[None]:
+    """A refusal that a task raised comes out as itself, with its code and both messages."""
+    try:
+        yield
+    except EngineError:
+        raise
+    except Exception as e:
+        if (refusal := EngineError.arrived(e)) is None:
+            raise
+        raise refusal from e
+
+
 def _quoted(v: Column) -> Column:
     text = v.cast("string")
     special = F.contains(v, F.lit(b",")) | F.contains(v, F.lit(b'"')) | F.contains(v, F.lit(b"\n")) | F.contains(v, F.lit(b"\r"))
@@ -42,10 +57,11 @@ def encoded_cell(v: Column, format: Format) -> Column:
     return _quoted(escape_two(v).cast("binary") if format is Format.TWO else v)
 
 
-def encoded_record(table: Table, fields: str = "fields", raw: str = "raw", rownum: bool = False) -> Column:
-    """One record without its line feed: an untouched record keeps its bytes, the others are written anew."""
+def encoded_record(table: Table, fields: str = "fields", raws: str = "raws", rownum: bool = False) -> Column:
+    """One record without its line feed: an untouched cell keeps its bytes, the others are written anew."""
     made = F.concat_ws(",", F.transform(fields, lambda v: encoded_cell(v, table.format)))
-    line = F.coalesce(F.col(raw).cast("string"), made)
+    kept = F.concat_ws(",", F.transform(fields, lambda v, i: F.coalesce(F.col(raws)[i].cast("string"), encoded_cell(v, table.format))))
+    line = F.when(F.col(raws).isNull(), made).otherwise(kept)
     return F.concat(F.col("record").cast("string"), F.lit(","), line) if rownum else line
 
 
@@ -59,22 +75,52 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def text_lines(df: DataFrame) -> Iterator[bytes]:
-    """The column `text` in file order, one partition at a time on the driver."""
-    for row in in_order(df).select(F.col("text").cast("binary")).toLocalIterator():
+def text_lines(df: DataFrame, ordered: bool = False) -> Iterator[bytes]:
+    """The column `text` in file order, one partition at a time on the driver. ordered: it is in that order already."""
+    for row in (df if ordered else in_order(df)).select(F.col("text").cast("binary")).toLocalIterator(prefetchPartitions=True):
         yield bytes(row[0]) + b"\n"
 
 
-def write_parts(df: DataFrame, path: str) -> None:
+def write_parts(df: DataFrame, path: str, ordered: bool = False) -> None:
     """The column `text` in file order, as numbered part files: the form for tables that one machine does not hold."""
-    in_order(df).select("text").write.text(path)
+    (df if ordered else in_order(df)).select("text").write.text(path)
 
 
-def write_whole(path: str, pieces: Iterable[bytes], replace: bool = True) -> None:
-    """Writes beside the destination, syncs, then takes its place; a failure leaves nothing behind."""
+@contextmanager
+def parts_beside(df: DataFrame, path: str, ordered: bool) -> Iterator[list[Path]]:
+    """Part files of the column `text`, written by the executors beside a destination that they share with the driver."""
+    target = Path(path).absolute()
+    folder = target.parent / f".{target.name}.{uuid.uuid4().hex}"
+    try:
+        write_parts(df, folder.as_uri(), ordered)
+        yield sorted(folder.glob("part-*"))
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def joined(parts: list[Path], final_feed: bool = True) -> Iterator[bytes]:
+    """The bytes of part files one after the other; without the last line feed, unless the last line is empty."""
+    held = b""
+    for part in parts:
+        with open(part, "rb") as f:
+            while piece := f.read(1 << 22):
+                piece = held + piece
+                held = piece[-2:]
+                yield piece[:-2]
+    empty = held in (b"\n", b"\n\n")
+    yield held if final_feed or empty else held.removesuffix(b"\n")
+
+
+def check_target(path: str) -> Path:
     target = Path(path)
     if not path or not target.parent.is_dir() or target.is_dir():
         raise EngineError("usage", f"cannot write to {path!r}", f"無法寫入 {path!r}")
+    return target
+
+
+def write_whole(path: str, pieces: Iterable[bytes], replace: bool = True) -> None:
+    """Writes beside the destination, syncs, then takes its place; a failure leaves nothing behind."""
+    target = check_target(path)
     fd, temp = tempfile.mkstemp(prefix=f".{target.name}.", dir=target.parent)
     try:
         with os.fdopen(fd, "wb") as f:
@@ -111,19 +157,22 @@ def promise(path: str, table: Table, headers_kept: bool, shape: str = "csv") ->
         raise EngineError("usage", "header rows differ between the input and the output; formats are not converted", "輸入與輸出的標頭列數不同，不轉換格式")
 
 
-def write_table(table: Table, path: str, headers: bool = True, rownum: bool = False, final_newline: bool = True) -> None:
-    promise(path, table, headers)
+def record_lines(table: Table, rownum: bool = False) -> DataFrame:
+    """The column `text`, one row for each line of the file that a table becomes, but for its header."""
+    lines = getattr(table, "lines", None)
+    return lines(rownum) if lines else table.df.withColumn("text", encoded_record(table, rownum=rownum))
 
-    def pieces() -> Iterator[bytes]:
-        yield from header_lines(table, rownum) if headers else []
-        held = b""
-        for line in text_lines(table.df.withColumn("text", encoded_record(table, rownum=rownum))):
-            if held:
-                yield held
-            held = line
-        yield held if final_newline else held.removesuffix(b"\n")
 
-    write_whole(path, pieces())
+def write_table(table: Table, path: str, headers: bool = True, rownum: bool = False, final_newline: bool | None = None) -> None:
+    """A table as one file. Executors write a part for each partition, the driver puts them in a row.
+    final_newline: None keeps the state of the file that the table is an edit of."""
+    promise(path, table, headers)
+    check_target(path)
+    feed = not table.open_end if final_newline is None else final_newline
+    with refusals(), parts_beside(record_lines(table, rownum), path, table.ordered) as parts:
+        head = header_lines(table, rownum) if headers else []
+        some = any(part.stat().st_size for part in parts)
+        write_whole(path, itertools.chain(head, joined(parts, feed) if some else []))
 
 
 def edit_in_place(path: str, made: Callable[[], Table], backup: bool = False) -> None:
@@ -134,30 +183,27 @@ def edit_in_place(path: str, made: Callable[[], Table], backup: bool = False) ->
             raise EngineError("exists", f"{saved} exists already", f"{saved} 已存在")
         shutil.copy2(path, saved)
     try:
-        with open(path, "rb") as f:
-            f.seek(max(0, os.path.getsize(path) - 1))
-            ends = f.read() in (b"\n", b"")
-        table = made()
-        added = "phase" in table.df.columns and bool(table.df.where("phase = 2").take(1))
-        write_table(table, path, final_newline=ends or added)
+        write_table(made(), path)
     except BaseException:
         if backup:
             os.unlink(saved)
         raise
 
 
-def append_rows(path: str, rows: list[bytes], headers: int | None = None, checked: bool = False) -> int:
-    """Appends to a file with one write, in the file's own line ending; the whole file is validated first.
-    checked: a trusted index vouches for the file. Returns the bytes added."""
-    from .table import header_rows_for
+def append_rows(path: str, rows: list[bytes], headers: int | None = None, header: Header | None = None) -> bytes:
+    """Appends to a file with one write, in the file's own line ending. Returns what was written.
+    header: of a file that has been validated already; without it, the whole file is read here first."""
+    from .table import header_rows_for, last_byte
 
     format, count = header_rows_for(path, headers)
-    with open(path, "rb") as f:
-        data = f.read() if not checked else f.read(1 << 20)
     before = os.path.getsize(path)
-    header = parse(data, format, count)[0] if not checked else Header()
-    crlf = b"\r\n" in data[:65536] and format is not Format.TWO
-    out = b"" if data.endswith(b"\n") or not data or checked else (b"\r\n" if crlf else b"\n")
+    if header is None:
+        with open(path, "rb") as f:
+            header = parse(f.read(), format, count)[0]
+    with open(path, "rb") as f:
+        start = f.read(65536)
+    crlf = b"\r\n" in start and format is not Format.TWO
+    out = b"" if not before or last_byte(path, before) == b"\n" else (b"\r\n" if crlf else b"\n")
     for text in rows:
         found = list(parse_stretch(text if text.endswith(b"\n") else text + b"\n", format))
         if len(found) != 1:
@@ -175,7 +221,8 @@ def append_rows(path: str, rows: list[bytes], headers: int | None = None, checke
         f.write(out)
         f.flush()
         os.fsync(f.fileno())
-    return len(out)
+    log.info("appended %d row(s) to %s", len(rows), path)
+    return out
 
 
 def create(path: str, titles: bytes, titles_zh: bytes | None = None) -> None:
@@ -206,6 +253,3 @@ def audit_log(path: str, inputs: Iterable[str] = ()) -> logging.Handler:
     log.addHandler(handler)
     log.setLevel(logging.INFO)
     return handler
-
-
-__all__ = ["append_rows", "audit_log", "create", "edit_in_place", "encoded_record", "guard", "header_lines", "pa", "parse_bytes", "promise", "record_spans", "text_lines", "write_parts", "write_table", "write_whole"]

@@ -3,26 +3,40 @@
 Opening counts records in a job of its own: each split of the file is scanned from its first line
 feed under both possible states, one row a split comes back, and the driver chains them. Reading
 then knows each split's first record and line, so numbers are contiguous and the work is parallel,
-quoted line feeds included. A filter on `record` drops splits before any task starts.
+quoted line feeds included. `Table.narrowed` drops splits before any task starts; a task gets its own
+split and no other. The rows of a partition, and the partitions, come in the order of the file.
+
+Ranges of records and needles go to the reader as options, not as Spark's pushed filters: all uses of one
+DataFrame in a query share what was pushed last, so two ranges of one table would lose rows.
+
+`fields` are the decoded cells, `raws` the cells as they stand in the file, null for a record that
+encoding writes with the same bytes anyway. A search may hand its needle down (`Table.holding`):
+splits without it are then read but not taken apart, and where an index vouches for the widths not
+even their records are counted.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import EngineError, Format, Header
-from .parser import check_width, guard, parse_stretch, record_spans
+from .columnar import CHUNK, Shape, can_look_ahead, places_of, shape_of
+from .parser import check_markdown, check_width, guard, parse_stretch, record_spans
 
 SPLIT_BYTES = 32 << 20
-SCHEMA = "record long, line long, offset long, fields array<binary>, raw binary"
+MOST_HITS = 4096  # beyond so many in a split, its records are not picked out one by one
+SCHEMA = "record long, line long, offset long, fields array<binary>, raws array<binary>"
+LAST = 1 << 62  # beyond any record
+NAMES = ["record", "line", "offset", "fields", "raws"]
 
 
 def open_file(path: str):
@@ -90,7 +104,7 @@ class Split:
 
 
 class _Part(InputPartition):
-    def __init__(self, split: Split) -> None:
+    def __init__(self, split: Split | None) -> None:
         self.split = split
 
 
@@ -101,56 +115,103 @@ class StrictReader(DataSourceReader):
         self.splits = [Split(*s) for s in plan["splits"]]
         self.format, self.headers, self.width = Format(plan["format"]), plan["headers"], plan["width"]
         self.size, self.widths, self.truncate = plan["size"], plan["widths"], plan["truncate"]
-        self.low, self.high = 1, 1 << 62
-
-    def pushFilters(self, filters):
-        """Bounds on `record` narrow the splits and the reading; all filters are applied again above."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("record",) and isinstance(getattr(f, "value", None), int):
-                v = f.value
-                if isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, v), min(self.high, v)
-                elif isinstance(f, GreaterThan):
-                    self.low = max(self.low, v + 1)
-                elif isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, v)
-                elif isinstance(f, LessThan):
-                    self.high = min(self.high, v - 1)
-                elif isinstance(f, LessThanOrEqual):
-                    self.high = min(self.high, v)
-            yield f
+        self.vouched, self.needle = plan["vouched"], bytes.fromhex(options.get("needle", ""))
+        self.low, self.high = int(options.get("low", 1)), int(options.get("high", LAST))
+
+    def __getstate__(self) -> dict:
+        """What travels to every task: not the splits, of which each task gets its own."""
+        return {k: v for k, v in vars(self).items() if k != "splits"}
 
     def partitions(self):
-        return [_Part(s) for s in self.splits if s.records and s.record <= self.high and s.record + s.records > self.low]
+        """One at least: without any, Spark would read a partition that is None."""
+        return [_Part(s) for s in self.splits if s.records and s.record <= self.high and s.record + s.records > self.low] or [_Part(None)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        s = part.split
+        if part.split is None:
+            return
+        try:
+            yield from self._read(part.split)
+        except EngineError as e:
+            raise e.for_travel() from None
+
+    def _read(self, s: Split) -> Iterator[pa.RecordBatch]:
         with open_file(self.path) as f:
             f.seek(s.start + s.skip)
             data = f.read(s.stop - s.start - s.skip + s.tail)
-        skip = guard(data) if s.start + s.skip == 0 else 0
-        last = s.stop + s.tail >= self.size
-        rows = parse_stretch(data[skip:], self.format, number=s.record, line=s.line, offset=s.start + s.skip + skip, last=last, truncate=self.truncate)
-        names = ["record", "line", "offset", "fields", "raw"]
+        bom = guard(data) if s.start + s.skip == 0 else 0
+        data = data[bom:] if bom else data
+        if self.needle and self.vouched and self.needle not in data:
+            return
+        offset, last = s.start + s.skip + bom, s.stop + s.tail >= self.size
+        shape = None
+        if self.headers == 0 or s.record >= 1:
+            shape = shape_of(data, self.format, last, self.width if self.widths else None)
+        else:  # header rows may differ in width; they are the first records of the first split
+            head = list(self._rows(data, s, offset, last, 1 - s.record))
+            if len(head) == 1 - s.record and len(data) > (cut := self._after(data, 1 - s.record)):
+                line = s.line + data.count(b"\n", 0, cut)
+                data, offset, s = data[cut:], offset + cut, replace(s, record=1, line=line, records=s.records - len(head))
+                shape = shape_of(data, self.format, last, self.width if self.widths else None)
+            elif len(head) == 1 - s.record:
+                return
+        if shape is None:
+            yield from self._by_record(data, s, offset, last)
+        else:
+            yield from self._by_column(data, shape, s, offset)
+
+    def _after(self, data: bytes, records: int) -> int:
+        """The byte after so many records."""
+        ends = record_spans(data, self.format).ends
+        return int(ends[records - 1]) + 1 if len(ends) >= records else len(data)
+
+    def _rows(self, data: bytes, s: Split, offset: int, last: bool, most: int | None = None):
+        for i, r in enumerate(parse_stretch(data, self.format, number=s.record, line=s.line, offset=offset, last=last, truncate=self.truncate)):
+            if i == most:
+                return
+            yield r
+
+    def _by_column(self, data: bytes, shape: Shape, s: Split, offset: int) -> Iterator[pa.RecordBatch]:
+        low, high = max(0, self.low - s.record), min(len(shape), self.high - s.record + 1)
+        picked = None
+        if self.needle:
+            places = [p for p, _ in zip(places_of(data, self.needle), range(MOST_HITS + 1), strict=False)]
+            if len(places) <= MOST_HITS:
+                picked = shape.records_at(np.array(places, np.int64))
+                if not len(picked):
+                    return
+        lines = shape.lines() + s.line
+        starts = shape.starts[shape.first[:-1]] + offset
+        while low < high:
+            end = max(low + 1, min(high, int(np.searchsorted(shape.ends, shape.ends[low] + CHUNK))))
+            take = None if picked is None else picked[(picked >= low) & (picked < end)]
+            if take is None or len(take):
+                fields, raws = shape.arrays(low, end)
+                numbers = np.arange(s.record + low, s.record + end)
+                batch = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(lines[low:end]), pa.array(starts[low:end]), fields, raws], names=NAMES)
+                yield batch if take is None else batch.take(pa.array(take - low))
+            low = end
+
+    def _by_record(self, data: bytes, s: Split, offset: int, last: bool) -> Iterator[pa.RecordBatch]:
         block: list = []
-        for r in rows:
+        for r in self._rows(data, s, offset, last):
             if r.number >= 1 and self.widths:
+                if self.format is not Format.LINES:
+                    check_markdown(r.fields, r.number, r.line)
                 check_width(r.fields, self.width, r.number, r.line)
             if max(1, self.low) <= r.number <= self.high:
                 block.append(r)
             if r.number >= self.high or len(block) == 8192:
-                yield self._batch(block, names)
+                yield self._batch(block)
                 block = []
                 if r.number >= self.high:
                     return
         if block:
-            yield self._batch(block, names)
+            yield self._batch(block)
 
-    @staticmethod
-    def _batch(block: list, names: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([getattr(r, k) for r in block], pa.int64()) for k in ("number", "line", "offset")), pa.array([r.fields for r in block], pa.list_(pa.binary())), pa.array([r.raw for r in block], pa.binary())], names=names
-        )
+    def _batch(self, block: list) -> pa.RecordBatch:
+        numbers = [pa.array([getattr(r, k) for r in block], pa.int64()) for k in ("number", "line", "offset")]
+        cells = [pa.array(v, pa.list_(pa.binary())) for v in ([r.fields for r in block], [r.raws(self.format) for r in block])]
+        return pa.RecordBatch.from_arrays([*numbers, *cells], names=NAMES)
 
 
 class StrictSource(DataSource):
@@ -192,10 +253,12 @@ def read_header(path: str, format: Format, headers: int) -> tuple[Header, int]:
     return header, int(rows[headers].offset) if len(rows) > headers else len(data)
 
 
-def plan_splits(spark: SparkSession, path: str, format: Format, headers: int, split_bytes: int = SPLIT_BYTES, truncate: bool = False) -> list[Split]:
+def plan_splits(spark: SparkSession, path: str, format: Format, headers: int, split_bytes: int = SPLIT_BYTES, truncate: bool = False, ranges: list[tuple[int, int]] | None = None) -> list[Split]:
     """Exact record and line numbers for every split, from one scan under both states."""
-    size = file_size(path)
-    ranges = [(i, at, min(at + split_bytes, size)) for i, at in enumerate(range(0, max(size, 1), split_bytes))]
+    if ranges is None:
+        size = file_size(path)
+        ranges = [(at, min(at + split_bytes, size)) for at in range(0, max(size, 1), split_bytes)]
+    ranges = [(i, *r) for i, r in enumerate(ranges)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,13 +297,21 @@ def plan_splits(spark: SparkSession, path: str, format: Format, headers: int, sp
 
 @dataclass
 class Table:
-    """Records as a DataFrame (record, line, offset, fields, raw) with their header."""
+    """Records as a DataFrame (record, line, offset, fields, raws) with their header.
+
+    ordered: partitions and their rows come in the order of the file. open_end: the file's last record
+    has no line feed. load(needle, low, high): the same table
+    from a reader that leaves out other records than low to high, and may leave out those without the needle."""
 
     df: DataFrame
     header: Header
     format: Format
     path: str = ""
     splits: tuple[Split, ...] = ()
+    ordered: bool = False
+    open_end: bool = False
+    load: Callable[..., DataFrame] | None = None
+    known: int | None = None  # number of records, where load is gone
 
     def column(self, token: str | int) -> Column:
         return F.col("fields")[self.header.resolve(token)]
@@ -249,6 +320,28 @@ class Table:
         """One row for each cell: record, line, field (from 1), value."""
         return self.df.select("record", "line", F.posexplode("fields").alias("field", "value")).withColumn("field", F.col("field") + 1)
 
+    def total(self) -> int:
+        """How many records there are: known for a file, else counted."""
+        if self.load:
+            return data_records(self.splits, len(self.header.rows))
+        return self.df.count() if self.known is None else self.known
+
+    def holding(self, needle: bytes) -> DataFrame:
+        """df, possibly without records that do not hold the needle. It is no substitute for the search."""
+        return self.load(needle) if self.load and can_look_ahead(needle) else self.df
+
+    def narrowed(self, low: int = 1, high: int = LAST) -> Table:
+        """Records low to high; only df and load are narrower."""
+        load, inside = self.load, F.col("record").between(low, high)
+        if load is None:
+            return replace(self, df=self.df.where(inside), known=self.known)
+        less = lambda needle=b"", a=1, b=LAST: load(needle, max(a, low), min(b, high))
+        return replace(self, df=less(), load=less)
+
+
+def data_records(splits: tuple[Split, ...] | list[Split], headers: int) -> int:
+    return sum(s.records for s in splits) - headers if splits else 0
+
 
 def header_rows_for(path: str, headers: int | None) -> tuple[Format, int]:
     """The format by suffix, and the header rows asked for: 0 turns them off, others must agree."""
@@ -264,20 +357,32 @@ def header_rows_for(path: str, headers: int | None) -> tuple[Format, int]:
     return format, headers
 
 
-def open_table(spark: SparkSession, path: str, headers: int | None = None, split_bytes: int = SPLIT_BYTES, truncate_partial: bool = False, check_widths: bool = True, splits: list[Split] | None = None) -> Table:
-    """Opens a delimited file. splits: from a trusted index, else counted now."""
+def open_table(spark: SparkSession, path: str, headers: int | None = None, split_bytes: int = SPLIT_BYTES, truncate_partial: bool = False, check_widths: bool = True, splits: list[Split] | None = None, vouched: bool = False) -> Table:
+    """Opens a delimited file. splits: from a trusted index (vouched: it has checked every width), else counted now."""
     format, count = header_rows_for(path, headers)
     header, _ = read_header(path, format, count)
     found = splits if splits is not None else plan_splits(spark, path, format, count, split_bytes, truncate_partial)
-    plan = {"splits": [list(vars(s).values()) for s in found], "format": format.value, "headers": count, "width": header.width, "size": file_size(path), "widths": check_widths, "truncate": truncate_partial}
+    size = file_size(path)
+    plan = {"splits": [list(vars(s).values()) for s in found], "format": format.value, "headers": count, "width": header.width, "size": size, "widths": check_widths, "truncate": truncate_partial, "vouched": vouched}
+    text = json.dumps(plan, separators=(",", ":"))
     spark.dataSource.register(StrictSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    df = spark.read.format("strictcsv").option("path", path).option("plan", json.dumps(plan)).load().where("record >= 1")
-    return Table(df, header, format, path, tuple(found))
+
+    def load(needle: bytes = b"", low: int = 1, high: int = LAST) -> DataFrame:
+        options = {"path": path, "plan": text, "needle": needle.hex(), "low": str(max(low, 1)), "high": str(high)}
+        return spark.read.format("strictcsv").options(**options).load()
+
+    return Table(load(), header, format, path, tuple(found), True, bool(size) and last_byte(path, size) != b"\n", load)
+
+
+def last_byte(path: str, size: int) -> bytes:
+    with open_file(path) as f:
+        f.seek(size - 1)
+        return f.read(1)
 
 
 def table_of(df: DataFrame, columns: list[str], header: Header | None = None, format: Format = Format.CSV) -> Table:
     """Any DataFrame with a `record` column as a table; cells are the text of its columns."""
     names = header or Header((tuple(c.encode() for c in columns),), len(columns))
     fields = F.array(*(F.coalesce(F.col(c).cast("string").cast("binary"), F.lit(b"")) for c in columns))
-    return Table(df.select("record", F.col("record").alias("line"), F.col("record").alias("offset"), fields.alias("fields"), F.lit(None).cast("binary").alias("raw")), names, format)
+    none = F.lit(None).cast("array<binary>").alias("raws")
+    return Table(df.select("record", F.col("record").alias("line"), F.col("record").alias("offset"), fields.alias("fields"), none), names, format)

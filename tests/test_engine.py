@@ -196,11 +196,11 @@ def test_markdown_tables(spark, tmp_path):
     with pytest.raises(EngineError):
         markdown.read_markdown(doc)
     rows[1][1] = b"w"
-    assert markdown.replace_table(doc, 1, header, rows) == doc.replace(b"| 2 | z |", b"| 2 | w |")
+    assert markdown.replace_table(doc, 1, header, rows) == doc.replace(b"| 2 | z |", b"|2|w|")
     p = tmp_path / "d.md"
     p.write_bytes(doc)
     list(run(spark, Request(input=str(p), output=str(p) + ".md", markdown=True, titles=True, md_table=1, update=[(2, "b", "w")])))
-    assert (tmp_path / "d.md.md").read_bytes() == doc.replace(b"| 2 | z |", b"| 2 | w |")
+    assert (tmp_path / "d.md.md").read_bytes() == doc.replace(b"| 2 | z |", b"|2|w|")
     two = markdown.read_markdown("| a<br>甲 |\n|---|\n| 1 |\n".encode())
     assert two[0].rows == ((b"a",), ("甲".encode(),))
     with pytest.raises(EngineError):
@@ -295,11 +295,13 @@ def test_range_reaches_the_source(spark, tmp_path):
     p = tmp_path / "r.csv"
     p.write_bytes(b"a\n" + b"".join(b"%d\n" % i for i in range(1000)))
     t = open_table(spark, str(p), split_bytes=512)
-    df = t.df.where(F.col("record") >= 990)
-    assert df.count() == 11 and df.rdd.getNumPartitions() < t.df.rdd.getNumPartitions()
+    df = t.narrowed(991).df
+    assert df.count() == 10 and df.rdd.getNumPartitions() < t.df.rdd.getNumPartitions()
 
 
-@pytest.mark.parametrize("asked", [{"stdin": True, "headers": 1}, {"input": "a.csv", "output": "b.csv", "update": [(1, "a", None)], "value_stdin": True}])
-def test_what_is_not_done_is_refused(asked):
-    with pytest.raises(EngineError, match="not supported"):
-        validate(Request(**asked))
+def test_two_ranges_of_one_table_in_one_query(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_bytes(b"a\n" + b"".join(b"%d\n" % i for i in range(1000)))
+    t = open_table(spark, str(p), split_bytes=512)
+    rows = t.df.where(F.col("record") <= 5).union(t.df.where(F.col("record") > 995)).union(t.narrowed(500, 501).df)
+    assert sorted(r["record"] for r in rows.collect()) == [1, 2, 3, 4, 5, 500, 501, 996, 997, 998, 999, 1000]
