@@ -54,6 +54,20 @@ def _clean() -> None:
             pass
 
 
+def packed(docs: DataFrame, **made: Column) -> DataFrame:
+    """Whole rows as one column `row` beside columns made of them: no name of docs can clash with those."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in made.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    """The columns that packed took, some of them replaced."""
+    return rows.select(*(made.get(c, F.col("row")[c]).alias(c) for c in columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def held_out(id_col: str) -> Column:
     """crc32 of the id as text, mod 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

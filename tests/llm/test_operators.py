@@ -63,6 +63,32 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_dedup_merges_sorted_runs(spark, docs):
+    digests = exact_dedup.digested(docs, "doc_id", "text").repartition(9)
+    for keep, best in (("max", max), ("min", min)):
+        groups = collections.defaultdict(list)
+        for r in digests.collect():
+            groups[bytes(r["digest"])].append(r["id"])
+        df = exact_dedup.merged_runs(digests, digests.count(), runs=8, keep=keep)
+        want = {d: (best((i for i in ids if i is not None), default=None), len(ids)) for d, ids in groups.items()}
+        assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in df.collect()} == want and df.count() == len(want)
+    # Three rounds of eight runs: each gathers arrays by range and the half of the runs, merges them in order, and joins neighbours.
+    plans = df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+    assert plans[0].count("sort_array(flatten(collect_list(entries") == 3 and plans[0].count("sort_array(collect_list(struct(digest") == 1
+    assert plans[1].count("Exchange hashpartitioning(range") == 4 and "EvalPython" not in plans[1] and "MapIn" not in plans[1]
+
+
+def test_exact_dedup_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 8)
+    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 16)
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i // 2}") for i in range(600)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert got == {i: (max(groups[t]), len(groups[t])) for i, t in rows}
+
+
 def test_sharding(spark, docs, rows, empty, tmp_path):
     got = sharding.assign_shards(docs, shards=7, bucket_rows=8).collect()
     want = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
