@@ -15,11 +15,13 @@ among its buckets' members, then against the smallest of each bucket, and compon
 Only buckets whose members still lie in different components go on: a growing random choice of
 members is held against the members of other components, until each bucket is one component or
 every pair across components has been held. So no link between components is lost, while a large
-group of copies costs a few comparisons a member.
+group of copies costs a few comparisons a member. A bucket's members are dealt into tiles of TILE, and
+the chosen into as many blocks: a task holds one block against one tile, however large the bucket.
 
 Results for odd input: a null text, or one without words, has an empty set and is linked with
 nothing; fewer than five words are one shingle. Rows that repeat a doc_id are one document: their
-texts' links are all its links. A null doc_id is linked with nothing (component_id null, kept).
+texts' links are all its links. A null doc_id, or one that is no integer, is linked with nothing
+(component_id null, kept).
 An empty table gives an empty result. Extra columns are not touched.
 """
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, quoted, unpacked, written
 from .components import components
 from .shingles import mix, shingle_set, word_hashes
 
@@ -40,6 +42,7 @@ BANDS, ROWS = 40, 4
 PERMUTATIONS = BANDS * ROWS // 2
 PERCENT = 75
 FIRST, GROWTH = 16, 256
+TILE = 1024
 SKETCH = 1024
 _rng = np.random.default_rng(0xB0B)
 _A = (_rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -128,9 +131,21 @@ def _may_link(n: str, sketch: str, other_n: str, other_sketch: str):
     return sizes & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(n) + F.col(other_n)))
 
 
+def tiled(chosen: DataFrame, held: DataFrame, most: int, tile: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """chosen (key, size, i, ...) and held (key, size, id, ...) with block and tile, so that each pair of one
+    key meets once, in a cell of about `tile` of each side. most: about how many of a key are chosen."""
+    tile = tile or TILE
+    blocks = F.ceil(F.least(F.col("size"), F.lit(most)) / tile).cast("long")
+    tiles = F.ceil(F.col("size") / tile).cast("long")
+    deal = lambda of, n, salt: F.pmod(F.xxhash64(F.lit(salt), of), n)
+    left = chosen.withColumn("block", deal("i", blocks, 1)).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))).drop("size")
+    right = held.withColumn("tile", deal("id", tiles, 2)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("size")
+    return left, right
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).try_cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     sig = written(signatures(rows), "signatures")
     known = sig.where("n > 0 and id is not null")
     classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
@@ -173,15 +188,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if new.limit(1).count():
                 links = links.union(new)
                 comp = components(links)
-        marked = cand.where("size > 2 and id <> center").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("key", "id"), F.col("size")).alias("rank"))
+        marked = cand.where("size > 2 and id <> center").join(comp, "id", "left").select("key", "size", "id", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("key", "id"), F.col("size")).alias("rank"))
         split = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top >= {done}").select("key")
         open_ = written(marked.where(f"rank >= {done}").join(split, "key"), "open")
         if not open_.limit(1).count():
             break
         most = done * GROWTH or FIRST
         held = open_.join(faces, "id")
-        chosen = held.where(f"rank < {most}").select("key", F.col("n").alias("ni"), F.col("id").alias("i"), F.col("sketch").alias("ki"), F.col("comp").alias("ci"))
-        met = chosen.join(held, "key").where((F.col("comp") != F.col("ci")) & _may_link("n", "sketch", "ni", "ki"))
+        chosen = held.where(f"rank < {most}").select("key", "size", F.col("n").alias("ni"), F.col("id").alias("i"), F.col("sketch").alias("ki"), F.col("comp").alias("ci"))
+        left, right = tiled(chosen, held, most)
+        met = left.join(right, ["key", "block", "tile"]).where((F.col("comp") != F.col("ci")) & _may_link("n", "sketch", "ni", "ki"))
         pairs = apart(met.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct())
         done = most
 
@@ -193,5 +209,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that near_groups does not keep; its columns are unchanged."""
-    lost = near_groups(docs, id_col, text_col).where("not kept").select(id_col).distinct()
-    return docs.join(written(lost, "lost"), id_col, "left_anti").select(*docs.columns)
+    lost = written(near_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("lost")).distinct(), "lost")
+    rows = packed(docs, id=F.col(quoted(id_col)).try_cast("long"))
+    return unpacked(rows.join(lost, F.col("id") == F.col("lost"), "left_anti"), docs.columns)
+
+
+#: Brute force: all pairs that share a shingle, and all that can be reached from each.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS shingles
+  FROM w
+), f AS (
+  SELECT doc_id, unnest(shingles) AS shingle FROM s
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM f a JOIN f b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * k >= 75 * (len(x.shingles) + len(y.shingles) - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.a = s.doc_id
+"""

@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_language_id, op2_url_filter, op3_quality, op4_sharding, op5_bpe, op6_mixing, op7_ann, op8_near_dedup, op9_exact_dedup, op10_licenses)
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op8_near_dedup": near_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

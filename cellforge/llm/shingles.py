@@ -1,4 +1,9 @@
-"""Word shingles of byte buffers, vectorised with numpy."""
+"""Word shingles of byte buffers, vectorised with numpy.
+
+A word's hash joins two polynomials modulo the prime 2^31 - 1, at two random places: 62 bits, of which
+two given words of L bytes agree in all with a chance of (L / 2^31)^2. A prime, because modulo a power
+of two some words collide whatever the base.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +15,32 @@ import pyarrow as pa
 PIECE = 1 << 18  # bytes hashed at a time
 _U = np.uint64
 _rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
+_PRIME = _U(2**31 - 1)
+_BYTE = _rng.integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
+_BYTE[:, 65:91] = _BYTE[:, 97:123]  # A-Z hash as a-z
+_BASE = [int(x) for x in _rng.integers(2**20, 2**31 - 2, 2)]
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _PLACE = _rng.integers(1, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for x below 2^62."""
+    x = (x & _PRIME) + (x >> _U(31))
+    x = (x & _PRIME) + (x >> _U(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
 
 
-def _power_table(kind: str) -> np.ndarray:
-    if kind not in _powers:
-        base = _U(_STEP if kind == "up" else pow(_STEP, -1, 2**64))
-        table = np.full(PIECE + 1, base, np.uint64)
-        table[0] = 1
-        _powers[kind] = np.multiply.accumulate(table)
-    return _powers[kind]
+def _power_table(base: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^31 - 1."""
+    if base not in _powers:
+        table = np.ones(1, np.uint64)
+        while len(table) < PIECE + 1:
+            table = np.concatenate([table, _reduced(table * _U(pow(base, len(table), 2**31 - 1)))])
+        _powers[base] = table[: PIECE + 1]
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,9 +61,13 @@ def words_of(data: np.ndarray, begins: np.ndarray, separator: np.ndarray = _SEPA
     ends[-1] = True
     ends[:-1] = after[1:] | ~inside[1:]
     last = np.flatnonzero(inside & ends)
-    sums = np.cumsum(_BYTE[data] * _power_table("up")[: len(data)])
-    h = sums[last] - np.where(first > 0, sums[first - 1], _U(0))
-    return mix(h * _power_table("down")[first] + (last - first).astype(np.uint64)), first, last
+    both = np.zeros(len(first), np.uint64)
+    for byte, base in zip(_BYTE, _BASE, strict=True):
+        sums = np.cumsum(_reduced(byte[data] * _power_table(base)[: len(data)]))  # below 2^49
+        h = _reduced(sums[last] - np.where(first > 0, sums[first - 1], _U(0)))
+        h = _reduced(h * _power_table(pow(base, -1, 2**31 - 1))[first])
+        both = (both << _U(31)) | h
+    return mix(mix(both) + (last - first).astype(np.uint64)), first, last
 
 
 def _long_word(data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, int]:
