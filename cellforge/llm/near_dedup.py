@@ -219,20 +219,24 @@ ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
   FROM documents
-), s AS (
-  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS shingles
-  FROM w
-), f AS (
-  SELECT doc_id, unnest(shingles) AS shingle FROM s
-), shared AS (
+), p AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w WHERE len(words) >= 5
+), f AS MATERIALIZED (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS shingle
+    FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+    UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4
+  ) WHERE shingle IS NOT NULL
+), s AS MATERIALIZED (
+  SELECT d.doc_id, count(f.shingle) AS n FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+), shared AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM f a JOIN f b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
-), links AS (
-  SELECT a, b FROM shared JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * k >= 75 * (len(x.shingles) + len(y.shingles) - k)
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 ), c AS (
   SELECT a, min(b) AS component_id FROM reach GROUP BY a
 )
-SELECT s.doc_id, len(s.shingles) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.a = s.doc_id
+SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.a = s.doc_id
 """
