@@ -24,10 +24,12 @@ def session() -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset (tests) one is made."""
+    """The folder that spark.checkpoint.dir names. Only where it is unset, and Spark runs in one process (tests), one is made."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cellforge-")
         sc.setCheckpointDir(root)
         _written[root] = spark
@@ -64,6 +66,14 @@ def unpacked(rows: DataFrame, columns: list[str], **made: Column) -> DataFrame:
     return rows.select(*(made.get(c, F.col("row")[c]).alias(c) for c in columns))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

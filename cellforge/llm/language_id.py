@@ -6,9 +6,9 @@ id), with follow-the-regularised-leader steps and an elastic-net penalty, so mos
 A quarter of the sample is kept apart and sets the temperature of the softmax.
 
 Results for odd input: a null text, or one without a letter, is `und` with score 0. Very long texts
-are counted in windows. Rows with a null language, a null id, or whose id's crc32 leaves 2 teach
-nothing. With nothing to learn from, every text is `und` with score 0. More than `MOST` languages
-are refused, not cut. Columns other than the id and the text never reach a prediction.
+are counted in windows, with the same counts as whole. Rows with a null language, a null id, or whose
+id's crc32 leaves 2 teach nothing. With nothing to learn from, every text is `und` with score 0. The
+sample bounds the languages too: the `MOST` that most rows have are learned. Columns other than the id and the text never reach a prediction.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_train, written
+from .common import fresh, may_train, quoted, written
 from .features import letter_gram_counts
 
 BUCKETS = 1 << 15
@@ -99,17 +99,16 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 11) -> Model:
-    rows = docs.where(may_train(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST + 1).collect()}
-    if len(sizes) > MOST:
-        raise ValueError(f"more than {MOST} languages")
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang"))
+    rows = rows.where(may_train("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(buckets), np.zeros((0, buckets)), np.zeros(0), 1.0)
     share = {k: min(1.0, sample_rows / len(sizes) / n) for k, n in sizes.items()}
     shares = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.select(F.col(text_col).alias("text"), F.when(chance < shares[F.col(lang_col)], F.col(lang_col)).alias("picked"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.select("text", F.when(chance < shares[F.col("lang")], F.col("lang")).alias("picked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, names = np.zeros(buckets, np.int64), ["bucket", "n", "lang", "where", "counts"]
@@ -151,7 +150,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS,
 
 def predictions(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the columns lang and score; columns that have these names already are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers, MOST at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers, MOST x BUCKETS at most
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):
@@ -159,12 +158,14 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text", lang: str
 
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    found = docs.withColumn("_found", predict(F.col(text_col)))
-    return found.withColumns({lang: F.col("_found.lang"), score: F.col("_found.score")}).drop("_found")
+    found = fresh(docs, "found")
+    docs = docs.withColumn(found, predict(F.col(quoted(text_col))))
+    return docs.withColumns({lang: F.col(found)["lang"], score: F.col(found)["score"]}).drop(found)
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """docs without those whose language is `und`; how likely the best language is does not matter."""
-    columns = docs.columns
-    model = fit(docs)
-    return predictions(docs, model, lang="_lang", score="_score").where(F.col("_lang") != "und").select(*columns)
+    """docs without those whose language is `und`; how likely the best language is does not matter. So rows
+    whose text is null or without a letter go, and all go where there is nothing to learn from."""
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    found = predictions(docs, fit(docs), lang=lang, score=score).where(F.col(lang) != "und")
+    return found.select(*map(quoted, docs.columns))

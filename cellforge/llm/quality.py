@@ -9,7 +9,7 @@ number and a whole text costs one look-up a feature.
 Results for odd input: a null text is the empty text; it has no features and gets the score of the
 bias alone. Rows with a null label, a null id or whose id's crc32 leaves 2 teach nothing, nor does
 an id with two different labels. Without labels every score is 0.5. Very long texts are read in
-windows. Columns other than the text never reach a score.
+windows that end at a blank, with the same features as whole. Columns other than the text never reach a score.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_train
+from .common import may_train, quoted
 from .features import subword_features
 
 BUCKETS = 1 << 16
@@ -65,13 +65,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 17) -> Model:
-    known = labels.where(may_train(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
-    known = known.agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most").drop("most")
+    known = labels.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(label_col)).alias("label"))
+    known = known.where(may_train("_id") & F.col("label").isin(0, 1)).groupBy("_id")
+    known = known.agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     total = known.count()
     if not total:
         return Model(np.zeros(buckets, np.float32), 0.0)
     chosen = known.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) < int(min(1.0, sample_rows / total) * (1 << 30)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label")  # about sample_rows rows
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label")  # about sample_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,4 +99,4 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", score: str = "
 
         return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(score, run(F.col(text_col)))
+    return docs.withColumn(score, run(F.col(quoted(text_col))))
