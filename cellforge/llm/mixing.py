@@ -15,7 +15,7 @@
 
 Everything follows from hashes of ids and texts: reruns agree. Results for odd input: a null or
 blank text has 0 words and takes 0. A null source is a source of its own. Null ids are allowed;
-rows that repeat each count. An empty table gives an empty result. No words at all: targets are 0.
+rows that repeat each count; rows are told apart by 256 bits of id, text and source. An empty table gives an empty result. No words at all: targets are 0.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, written
+from .common import WORD, packed, quoted, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 1024
 BUCKET_ROWS = 1024
+SUPER = 1024
 ROUNDS = 24
 
 
@@ -38,6 +39,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(id_: Column, text: Column, source: Column) -> Column:
+    """256 bits that tell rows apart that differ in id, text or source, nulls and all."""
+    marked = [F.when(c.isNull(), "n").otherwise(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in (id_, text, source)]
+    return F.unhex(F.sha2(F.concat_ws(",", *marked), 256))
+
+
+def with_base(sums: DataFrame, by: str, at: str, amount: str, base: str) -> DataFrame:
+    """sums (by, at, amount), stored, with the sum of the amounts before each row: inside stretches of SUPER
+    places, and over the stretches, so that no task holds all places of one `by`."""
+    cut = sums.withColumn("stretch", F.floor(F.col(at) / SUPER))
+    inside = F.sum(amount).over(W.partitionBy(by, "stretch").orderBy(at)) - F.col(amount)
+    whole = cut.groupBy(by, "stretch").agg(F.sum(amount).alias("whole"))
+    whole = whole.select(by, "stretch", (F.sum("whole").over(W.partitionBy(by).orderBy("stretch")) - F.col("whole")).alias("before"))
+    out = cut.withColumn("inside", inside).join(whole, [by, "stretch"]).withColumn(base, F.col("inside") + F.col("before"))
+    return out.drop("stretch", "inside", "before")
+
+
 def source_targets(sized: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """source, rank, source_size, target, blocks and slots (how many blocks the mix takes) of rows (source, size)."""
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -67,8 +85,8 @@ def permuted(x: Column, n: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, swap)
 
 
-def block_uses(sources: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """rank, block, uses: how often the mix takes each block."""
+def block_slots(sources: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """rank, block, shard, place: the block of each slot of each output shard. The balancing shards come last."""
     spark = sources.sparkSession
     drawn = sources.where("slots > 0").withColumn("high", F.sum("slots").over(W.orderBy("rank"))).withColumn("low", F.col("high") - F.col("slots"))
     total, n = drawn.agg(F.max("high"), F.count(F.lit(1))).first()
@@ -80,42 +98,62 @@ def block_uses(sources: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS)
         F.floor(F.col("id") / shard_blocks).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(total, 1))).alias("v")
     )
     draws = draws.withColumn("cell", F.floor(F.col("v") / width)).join(cells, "cell").where("v >= low and v < high")
-    counts = draws.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("end", F.sum("n").over(W.partitionBy("rank").orderBy("shard")))
-    left = counts.groupBy("rank").agg(F.max("end").alias("end"))
+    counts = written(draws.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("n")), "draws")
+    left = counts.groupBy("rank").agg(F.sum("n").alias("end"))
+    counts = with_base(counts, "rank", "shard", "n", "lo")
     facts = sources.where("slots > 0").select("rank", "blocks", "slots")
-    taken = counts.join(facts, "rank").select("rank", "blocks", "shard", (F.col("end") - F.col("n")).alias("lo"), F.least("end", "slots").alias("hi"))
+    taken = counts.join(facts, "rank").select("rank", "blocks", "shard", "lo", F.least(F.col("lo") + F.col("n"), "slots").alias("hi"))
     rest = facts.join(left, "rank", "left").select("rank", "blocks", F.coalesce("end", F.lit(0)).alias("from"), "slots").where("from < slots")
     step = F.explode(F.sequence(F.col("from"), F.col("slots") - 1, F.lit(shard_blocks).cast("long")))
-    rest = rest.select("rank", "blocks", "slots", step.alias("lo")).select("rank", "blocks", F.lit(-1).cast("long").alias("shard"), "lo", F.least(F.col("lo") + shard_blocks, "slots").alias("hi"))
+    rest = rest.select("rank", "blocks", "slots", step.alias("lo"))
+    rest = rest.select("rank", "blocks", (-(-total // shard_blocks) + F.floor(F.col("lo") / shard_blocks)).alias("shard"), "lo", F.least(F.col("lo") + shard_blocks, "slots").alias("hi"))
     spans = taken.where("lo < hi").unionByName(rest).repartition(tasks, "rank", "shard", "lo")
-    slots = spans.select("rank", "blocks", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("j"))
-    seeds = F.xxhash64(F.lit(seed), F.col("rank"), F.floor(F.col("j") / F.col("blocks")))
-    block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), seeds)
-    return slots.select("rank", block.alias("block")).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
+    slots = spans.select("rank", "blocks", "shard", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("place"))
+    seeds = F.xxhash64(F.lit(seed), F.col("rank"), F.floor(F.col("place") / F.col("blocks")))
+    block = permuted(F.col("place") % F.col("blocks"), F.col("blocks"), seeds)
+    return slots.select("rank", block.alias("block"), "shard", "place")
 
 
-def mix_plan(docs: DataFrame, seed: int = 5, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(pieces, placed). pieces: one row for each document and block: rank, start, id, key, size,
-    block, words, uses. placed: one row for each document with its source's facts."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col, source_col).alias("key"))
+def block_uses(sources: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """rank, block, uses: how often the mix takes each block."""
+    return block_slots(sources, seed, shard_blocks).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def packing(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, placed, pieces). placed: one row for each document, with its place in its source's stream.
+    pieces: one row for each document and block: rank, start, id, key, size, block, words."""
+    cols = [F.col(quoted(c)) for c in (id_col, text_col, source_col)]
+    base = docs.select(cols[0].alias("id"), cols[2].alias("source"), word_count(cols[1]).alias("size"), row_key(*cols).alias("key"))
     base = written(base, "sizes")
     sources = written(source_targets(base, block_words), "sources")
     buckets = max(1, -(-base.count() // BUCKET_ROWS))
     doc = base.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     doc = doc.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.id", "d.key", "d.size", "d.bucket", "s.rank", "s.source_size", "s.target")
-    sums = doc.groupBy("rank", "bucket").agg(F.sum("size").alias("all"))
-    sums = sums.withColumn("base", F.sum("all").over(W.partitionBy("rank").orderBy("bucket")) - F.col("all")).drop("all")
+    sums = with_base(written(doc.groupBy("rank", "bucket").agg(F.sum("size").alias("all")), "sums"), "rank", "bucket", "all", "base").drop("all")
     run = W.partitionBy("rank", "bucket").orderBy("id", "key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = doc.withColumn("local", F.sum("size").over(run) - F.col("size")).join(sums, ["rank", "bucket"])
     placed = placed.select("id", "key", "size", "rank", "source_size", "target", (F.col("local") + F.col("base")).alias("start"))
     some = placed.where("size > 0").withColumn("end", F.col("start") + F.col("size"))
     pieces = some.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
     words = F.least("end", (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
-    pieces = pieces.withColumn("words", words).join(block_uses(sources, seed), ["rank", "block"], "left")
+    return sources, placed, pieces.withColumn("words", words)
+
+
+def mix_plan(docs: DataFrame, seed: int = 5, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(pieces with uses, placed)."""
+    sources, placed, pieces = packing(docs, block_words, id_col, text_col, source_col)
+    pieces = pieces.join(block_uses(sources, seed), ["rank", "block"], "left")
     return pieces.withColumn("uses", F.coalesce("uses", F.lit(0)).cast("long")), placed
 
 
+def mixed_shards(docs: DataFrame, seed: int = 5, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The output shards: for each slot the pieces of documents in its block: shard, rank (of the source),
+    place (of the slot among its source's), id, at (the piece's first word in the text, from 0), words."""
+    sources, _, pieces = packing(docs, block_words, id_col, text_col, source_col)
+    at = F.greatest("start", F.col("block") * block_words) - F.col("start")
+    return pieces.join(block_slots(sources, seed), ["rank", "block"]).select("shard", "rank", "place", F.col("id").alias(id_col), at.alias("at"), "words")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: id, size, source_size, target (its source's), taken."""
     id_col = options.get("id_col", "doc_id")
@@ -134,18 +172,18 @@ def mixed_documents(docs: DataFrame, seed: int = 5, block_words: int = BLOCK_WOR
     uses = pieces.groupBy("id", "key", "start", "size").agg(F.sort_array(F.collect_list(part)).alias("_parts"), F.max("uses").cast("int").alias("_most"))
     # Rows that repeat have equal keys: pair the n-th with the n-th.
     uses = uses.where("_most > 0").groupBy("id", "key").agg(F.collect_list(F.struct("_parts", "_most")).alias("_plans"))
-    keyed = docs.select("*", F.xxhash64(id_col, text_col, source_col).alias("_key"))
-    repeats = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
-    single = keyed.join(repeats, "_key", "left_anti")
-    several = keyed.join(repeats, "_key", "left_semi").dropDuplicates(["_key"])  # equal in id, text and source
-    rows = single.unionByName(several).join(uses.drop("id").withColumnRenamed("key", "_key"), "_key")
-    rows = rows.withColumn("_plan", F.explode("_plans")).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_plan._most"))))
-    chosen = F.filter("_plan._parts", lambda p: p["uses"] >= F.col("_round"))
-    whole = F.size(chosen) == F.size("_plan._parts")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(F.col("_words"), p["at"] + 1, p["n"]))), "")
-    rows = rows.withColumn("_chosen", chosen).withColumn("_words", F.when(~whole, words))
-    text = F.when(F.size("_chosen") == F.size("_plan._parts"), F.col(text_col)).otherwise(cut)
-    rows = rows.withColumn("_text", text)
-    made = {text_col: F.col("_text"), chars_col: F.length("_text").cast("long")}
-    return rows.select(*(made[c].alias(c) if c in made else F.col(c) for c in docs.columns))
+    keyed = packed(docs, key=row_key(*(F.col(quoted(c)) for c in (id_col, text_col, source_col))))
+    repeats = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("same")).where("same > 1")
+    single = keyed.join(repeats, "key", "left_anti")
+    several = keyed.join(repeats, "key", "left_semi").dropDuplicates(["key"])  # equal in id, text and source
+    rows = single.unionByName(several).join(uses.drop("id"), "key")
+    rows = rows.withColumn("plan", F.explode("_plans")).withColumn("round", F.explode(F.sequence(F.lit(1), F.col("plan._most"))))
+    chosen = F.filter("plan._parts", lambda p: p["uses"] >= F.col("round"))
+    whole = F.size(chosen) == F.size("plan._parts")
+    body = F.col("row")[text_col]
+    words = F.regexp_extract_all(body, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    cut = F.array_join(F.flatten(F.transform("chosen", lambda p: F.slice(F.col("words"), p["at"] + 1, p["n"]))), "")
+    rows = rows.withColumn("chosen", chosen).withColumn("words", F.when(~whole, words))
+    text = F.when(F.size("chosen") == F.size("plan._parts"), body).otherwise(cut)
+    rows = rows.withColumn("made", text)
+    return unpacked(rows, docs.columns, **{text_col: F.col("made"), chars_col: F.length("made").cast("long")})
