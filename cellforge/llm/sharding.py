@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import fresh, quoted, written
 
 SUPER = 1024
 
@@ -67,9 +67,9 @@ def _assign(records: DataFrame, keys: list[str], shards: int, seed: int, bucket_
 
 def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 20240229, bucket_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, size, text_crc32, law, shard, slot, grown_shard."""
-    text = F.col(text_col)
+    text = F.col(quoted(text_col))
     records = docs.select(
-        F.col(id_col).alias("_id"),
+        F.col(quoted(id_col)).alias("_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("_size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("_crc"),
     )
@@ -80,13 +80,18 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 20240229, bucke
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20240229, bucket_rows: int = 2048) -> None:
-    """Writes docs to path/shard=N, each file sorted by slot. Rows that agree in all columns are alike."""
-    key = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
-    keyed = docs.withColumn("_key", key)
-    places = _assign(keyed.select("_key"), ["_key"], shards, seed, bucket_rows)
-    texts = keyed.dropDuplicates(["_key"])
-    out = texts.join(places.withColumnsRenamed({"shard": "_shard", "slot": "_slot"}), "_key").drop("_key")
-    rows = max(1, out.count() // shards)
-    out = out.repartition(shards * max(1, rows // 1_000_000), "_shard", F.floor(F.col("_slot") / 1_000_000))
-    out.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20240229, bucket_bytes: int = 32 << 20) -> None:
+    """Writes docs to path/shard=N, with all their columns, the files of a shard sorted by slot. The records
+    themselves travel: into buckets of about bucket_bytes (a longer record makes a longer bucket), which are
+    shuffled and written. Rows that agree in all columns are alike. A column `shard` of docs gives way."""
+    columns = [c for c in docs.columns if c.lower() != "shard"]
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in columns)).alias("row"))
+    length = sum((F.coalesce(F.octet_length(F.col("row")[c].cast("string")), F.lit(0)) for c in columns), F.lit(16))
+    total, n = rows.agg(F.sum(length), F.count(F.lit(1))).first()
+    placed = _assign(rows, ["row"], shards, seed, max(1, bucket_bytes * n // max(total or 1, 1)))
+    slot = fresh(docs, "slot")
+    out = placed.select(*(F.col("row")[c].alias(c) for c in columns), "shard", F.col("slot").alias(slot))
+    stretch = max(1, bucket_bytes * n // max(total or 1, 1))  # rows of a written file
+    files = max(1, -(-n // stretch))
+    out = out.repartition(max(shards, files), "shard", F.floor(F.col(slot) / stretch)).sortWithinPartitions("shard", slot)
+    out.drop(slot).write.partitionBy("shard").parquet(path)
