@@ -106,7 +106,7 @@ def test_sharding(spark, docs, rows, empty, tmp_path):
     assert sharding.assign_shards(empty).count() == 0
     hot = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(500)))).select(F.lit(1).cast("long").alias("doc_id"), F.lit("t").alias("text"))
     assert sharding.assign_shards(hot, shards=4, bucket_rows=16).groupBy("shard").count().select("count").distinct().collect()[0][0] == 125
-    sharding.write_shards(docs.drop("shard"), str(tmp_path / "out"), shards=3, bucket_rows=8)
+    sharding.write_shards(docs.drop("shard"), str(tmp_path / "out"), shards=3, bucket_bytes=2048)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
 
 
@@ -153,6 +153,65 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_tells_rows_with_nulls_apart(spark):
+    rows = [(5, None, "a b c d"), (5, "a b c d", None), (None, "5", "a b c d"), (5, "a b c d", ""), (None, "x y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.lit(0).cast("long"))
+    keys = docs.select(mixing.row_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("k")).distinct().count()
+    assert keys == len(rows)
+    got = mixing.mixed_documents(docs, block_words=1).collect()
+    assert got and all(r["text"] for r in got)
+
+
+def test_mixed_shards_hold_what_the_mix_takes(docs, rows):
+    taken, slots = collections.Counter(), collections.Counter()
+    for r in mixing.mixed_shards(docs, block_words=16).collect():
+        taken[r["doc_id"]] += r["words"]
+        slots[r["shard"], r["rank"], r["place"]] += r["words"]
+    want = collections.Counter()
+    for r in mixing.mixed(docs, block_words=16).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert taken == +want and max(slots.values()) <= 16
+
+
+def test_running_sums_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SUPER", 4)
+    rows = [(b, p, p * b + 1) for b in (1, 2) for p in range(0, 60, 1 + b)]
+    got = mixing.with_base(spark.createDataFrame(rows, "b long, p long, n long"), "b", "p", "n", "base").collect()
+    assert all(r["base"] == sum(n for b, p, n in rows if b == r["b"] and p < r["p"]) for r in got) and len(got) == len(rows)
+
+
+CLASHES = [
+    "_id", "id", "_digest", "digest", "bytes", "check", "row", "lost", "lost_id", "_found", "found", "_lang", "_score", "lang_pred", "_key", "key", "_plans", "plan", "_plan",
+    "round", "_round", "words", "_words", "_text", "made", "chosen", "same", "uses", "rank", "start", "block", "size", "_shard", "_slot", "slot", "law", "_record", "bucket", "n", "sketch",
+    "component_id", "kept", "keep_id", "group_size", "host", "path", "rule", "url", "license", "v", "list", "query_id",
+]
+
+
+def test_clashing_names_change_nothing(spark, docs, tmp_path):
+    """Every name that an operator uses inside, as a column of the table."""
+    few = docs.where("doc_id < 25").drop("kept", "score", "shard")
+    clash = few.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    for run in (exact_dedup.exact_groups, near_dedup.near_groups, sharding.assign_shards, mixing.mixed, licenses.license_spans, queries.bpe_digests):
+        assert key(run(clash)) == key(run(few)), run
+    for run in (exact_dedup.drop_copies, near_dedup.drop_near_copies, mixing.mixed_documents, language_id.known_language):
+        got = run(clash)
+        assert got.columns == clash.columns and key(got.select(*few.columns)) == key(run(few)), run
+        assert got.where(" or ".join(f"`{c}` <> 'own {c}'" for c in CLASHES)).count() == 0
+    model = language_id.fit(clash)
+    found = language_id.predictions(clash, model, lang="lang_out", score="score_out")
+    assert found.columns == [*clash.columns, "lang_out", "score_out"] and key(found.select("doc_id", "lang_out")) == key(language_id.predictions(few, language_id.fit(few), lang="lang_out").select("doc_id", "lang_out"))
+    scored = quality.scores(clash, quality.fit(clash, clash.selectExpr("doc_id", "int(doc_id % 2) quality", "'l' label", "'m' most", "'i' _id")), score="s_out")
+    assert scored.columns == [*clash.columns, "s_out"]
+    sharding.write_shards(clash, str(tmp_path / "out"), shards=3, bucket_bytes=4096)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted([*clash.columns, "shard"]) and key(back.select(*clash.columns)) == key(clash)
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert key(ann.nearest(vectors.select("*", *(F.lit(1).alias(c) for c in CLASHES)), every=10)) == key(ann.nearest(vectors, every=10))
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://example.com/en/")], "page_id long, url string")
+    assert key(url_filter.judged(pages.select("*", *(F.lit("own").alias(c) for c in CLASHES if c != "url")))) == key(url_filter.judged(pages))
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 100])
 def test_permutation_is_one(spark, n):
     got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9).cast("long")).alias("p")).collect()
@@ -313,10 +372,19 @@ def test_known_language_keeps_unlikely_languages(spark, monkeypatch):
 def test_windows_do_not_change_counts(monkeypatch):
     from cellforge.llm import features
 
-    text = "Some words. " * 50
-    one = letter_gram_counts(text, 1 << 12), len(subword_features(text, 1 << 12))
-    monkeypatch.setattr(features, "WINDOW", 120)
-    assert abs(letter_gram_counts(text, 1 << 12).sum() - one[0].sum()) <= 60 and abs(len(subword_features(text, 1 << 12)) - one[1]) <= 12
+    rng = random.Random(9)
+    texts = ["Some words. " * 50, "ΑΣ ΟΔΟΣ İstanbul ΣΑΣ" * 40, "x" * 700, " \t" * 300, "..." * 200 + "a", "".join(rng.choice("ab  .Σ\u3000") for _ in range(900))]
+    whole = [(letter_gram_counts(t, 1 << 12), np.bincount(subword_features(t, 1 << 12), minlength=1 << 12)) for t in texts]
+    for window in (1, 2, 3, 7, 120, 500):
+        monkeypatch.setattr(features, "WINDOW", window)
+        for t, (grams, words) in zip(texts, whole, strict=True):
+            assert (letter_gram_counts(t, 1 << 12) == grams).all() and (np.bincount(subword_features(t, 1 << 12), minlength=1 << 12) == words).all()
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST", 2)
+    rows = [(i, f"{'abc'[i % 3]}{'xyz'[i % 3]} " * 5, "abcd"[min(i % 3, 3)]) for i in range(90)] + [(1000 + i, "qq", f"rare{i}") for i in range(5)]
+    assert len(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 2
 
 
 def test_quality(spark, docs, rows, empty):
@@ -484,3 +552,50 @@ def test_pipeline_stages(spark, docs, rows, tmp_path, monkeypatch):
     assert out and {r["doc_id"] for r in out} <= kept and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "bpe"]
     silent = {r[0] for r in rows if not any(map(str.isalpha, r[1] or ""))}
     assert not silent & {r["doc_id"] for r in out}
+
+
+def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
+    """Each stage on all that the one before kept, against brute force: nulls, ties, repeated rows and extra columns included."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    with_id = docs.where("doc_id is not null")
+    known = stages["language_id"](spark, with_id, str(tmp_path))
+    count = lambda rs: collections.Counter(map(tuple, rs))
+    given = [r for r in with_id.collect() if any(map(str.isalpha, r["text"] or ""))]
+    assert known.columns == docs.columns and count(known.collect()) == count(given)
+    groups = collections.defaultdict(set)
+    for r in given:
+        groups[norm(r["text"])].add(r["doc_id"])
+    single = stages["exact_dedup"](spark, known, str(tmp_path))
+    rest = [r for r in given if r["doc_id"] == max(groups[norm(r["text"])])]
+    assert single.columns == docs.columns and count(single.collect()) == count(rest)
+    sets, root = {r["doc_id"]: sets_of(r["text"]) for r in rest}, {r["doc_id"]: r["doc_id"] for r in rest}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    apart = stages["near_dedup"](spark, single, str(tmp_path))
+    rest = [r for r in rest if root[r["doc_id"]] == r["doc_id"]]
+    assert apart.columns == docs.columns and count(apart.collect()) == count(rest)
+    mix = stages["mixing"](spark, apart, str(tmp_path))
+    sizes = collections.Counter()
+    for r in rest:
+        sizes[r["source"]] += len(WORD.findall(r["text"]))
+    taken, texts = collections.Counter(), {r["doc_id"]: r for r in rest}
+    made = mix.collect()
+    for r in made:
+        whole = texts[r["doc_id"]]
+        assert (r["lang"], r["source"], r["kept"]) == (whole["lang"], whole["source"], whole["kept"])
+        assert not collections.Counter(WORD.findall(r["text"])) - collections.Counter(WORD.findall(whole["text"]))
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    assert mix.columns == docs.columns and all(abs(taken[k] - v) <= 2 * mixing.BLOCK_WORDS for k, v in targets_by_sharing(sizes).items())
+    tok = Tokenizer.from_file(queries.vocabulary_path())
+    want = collections.Counter()
+    for r in made:
+        e = tok.encode(r["text"], add_special_tokens=False)
+        want[r["doc_id"], len(e.ids), hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert count(stages["bpe"](spark, spark.createDataFrame(made, docs.schema), str(tmp_path)).collect()) == want
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
