@@ -120,6 +120,15 @@ def balanced_centers(x: np.ndarray, part: int, most: int, seed: int = 7) -> np.n
     return np.stack([x[r].mean(axis=0) for r in [*done, *(r for *_, r in parts)]])
 
 
+def smallest(d: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the m smallest values of each row, in order."""
+    m = min(m, d.shape[1])
+    if not m:
+        return np.empty((len(d), 0), np.int64)
+    at = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def fit(v: DataFrame, total: int, list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS, most: int = MOST_LISTS, degree: int = 24, seed: int = 29) -> Lists:
     share = min(1.0, sample_rows / max(1, total))
     chosen = v.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -132,7 +141,7 @@ def fit(v: DataFrame, total: int, list_rows: int = LIST_ROWS, sample_rows: int =
     for at in range(0, k, 1024):
         d = square[None] - 2 * centers[at : at + 1024] @ centers.T
         d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-        near[at : at + 1024] = np.argsort(d, axis=1)[:, : near.shape[1]]
+        near[at : at + 1024] = smallest(d, near.shape[1])
     rng = np.random.default_rng(seed)
     return Lists(centers, near, np.sort(rng.choice(k, min(k, 16), replace=False)))
 
@@ -148,11 +157,12 @@ def posted(v: DataFrame, shared, replicas: int = REPLICAS, boundary: float = BOU
         centers = shared.value.centers
         square = (centers**2).sum(axis=1)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            step = max(16, (1 << 21) // len(centers))  # 16 MiB of distances at a time
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 x = _stacked(batch.column(1))
                 d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + square[None] - 2 * x @ centers.T, 0))
-                first = np.argsort(d, axis=1)[:, : 4 * replicas]
+                first = smallest(d, 4 * replicas)
                 rows, lists = [], []
                 for i, order in enumerate(first):
                     chosen: list[int] = []
