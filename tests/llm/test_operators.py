@@ -543,6 +543,42 @@ def test_licenses_close_together_or_with_an_edit():
             assert [r[0] for r in licenses.scan(" ".join([*words[:i], "truly", *words[i:]]).encode(), index)] == [name]
 
 
+def test_licenses_against_alignment_at_every_offset():
+    rng = random.Random(12)
+    agreed = 0
+    for _ in range(150):
+        name = rng.choice(["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "MPL-2.0", "MIT-condition", "BSD-text"])
+        index = licenses.Index({name: licenses.TEMPLATES[name]})
+        words = licenses.TEMPLATES[name].split()
+        filler = [w for t in ("MIT-text", "GPL-text") for w in licenses.TEMPLATES[t].split()] + ["filler"] * 20
+        for _ in range(rng.randint(0, max(2, len(words) // 3))):
+            i = rng.randrange(len(words))
+            words[i : i + rng.randint(0, 1)] = [rng.choice(filler)] * rng.randint(0, 1)
+        text = [rng.choice(filler) for _ in range(rng.randint(0, 20))] + words + [rng.choice(filler) for _ in range(rng.randint(0, 20))]
+        data = np.frombuffer(" ".join(text).encode(), np.uint8)
+        hashes, m = licenses._tokens(data)[0].tolist(), len(index.lists[0])
+        tried = [licenses.align(index.lists[0], hashes, start) for start in range(-licenses.BAND, len(hashes))]
+        best = max((t[1] for t in tried if t), default=0)
+        got = licenses.scan(data.tobytes(), index)
+        assert bool(got) == (best >= licenses.LEAST * m - 1e-9), (name, text)
+        agreed += bool(got)
+    assert 30 < agreed < 140
+
+
+def test_the_best_of_templates_on_the_same_words():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert [(r[0], r[1]) for r in licenses.scan(text.encode(), index)][:1] == [(name, 1.0)], name
+    both = " ".join([licenses.TEMPLATES["GPL-2.0"], licenses.TEMPLATES["CC-BY-SA-4.0"], licenses.TEMPLATES["Apache-grant"]])
+    assert [(r[0], r[1]) for r in licenses.scan(both.encode(), index)] == [("GPL-2.0", 1.0), ("CC-BY-SA-4.0", 1.0), ("Apache-grant", 1.0)]
+
+
+def test_smallest_columns():
+    """The m smallest, in order; which of equal ones at the border are taken does not matter."""
+    d = np.random.default_rng(3).integers(0, 9, (50, 40)).astype(float)
+    assert (np.take_along_axis(d, ann.smallest(d, 7), 1) == np.sort(d, axis=1)[:, :7]).all() and ann.smallest(d, 99).shape == (50, 40)
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path, monkeypatch):
     import corpus_pipeline
 
