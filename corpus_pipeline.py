@@ -3,6 +3,14 @@
 Language ID drops documents of no known language; exact dedup and near dedup keep one of each group
 of copies; mixing draws the rest towards the sources' target weights (a document comes once for each
 round that takes it, cut to the blocks taken); BPE encodes and decodes what is left.
+
+Results for odd input: rows whose text is null, empty or without a letter have no language and go in the
+first stage. Rows that repeat id and text stay or go together. Of equal texts the largest id stays, of
+near copies the smallest id of the component; rows with a null id lose among equal texts, and are linked
+with nothing by near dedup. A null source is a source of its own. Very long texts are read whole. Where
+no row has a language, nothing
+can be learned and nothing is kept. An empty table gives an empty result. Extra columns, whatever their
+names, pass through all stages but the last, which returns its own columns.
 """
 
 from __future__ import annotations
