@@ -189,8 +189,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 links = links.union(new)
                 comp = components(links)
         marked = cand.where("size > 2 and id <> center").join(comp, "id", "left").select("key", "size", "id", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("key", "id"), F.col("size")).alias("rank"))
-        split = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top >= {done}").select("key")
-        open_ = written(marked.where(f"rank >= {done}").join(split, "key"), "open")
+        split = marked.groupBy("key", "size").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top >= {done}").select("key", "size")
+        # A bucket's members go back to it by tiles, so a large one is no single task.
+        tiles = F.ceil(F.col("size") / TILE).cast("long")
+        split = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("part"))
+        open_ = written(marked.where(f"rank >= {done}").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), tiles)).join(split, ["key", "part"]).drop("part"), "open")
         if not open_.limit(1).count():
             break
         most = done * GROWTH or FIRST
