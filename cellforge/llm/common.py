@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _written: dict[str, SparkSession] = {}
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def session() -> SparkSession:
@@ -40,18 +44,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/cellforge/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
     _written[path] = spark
+    if (passing_paths := _passing.get()) is not None:
+        passing_paths.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that `written` stores inside are deleted at the end; those that the given function stores stay.
+    Only such tables may be read afterwards. Each thread has its own, and they nest."""
+    outer, mine = _passing.get(), []
+    token = _passing.set(mine)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        inner = _passing.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _passing.reset(inner)
+
+    try:
+        yield kept
+    finally:
+        _passing.reset(token)
+        for path in mine:
+            _delete(path)
+
+
 @atexit.register
 def _clean() -> None:
-    for path, spark in list(_written.items()):
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(path)
         except Exception:  # the JVM may be gone at exit; the folder's owner cleans it then
             pass
 

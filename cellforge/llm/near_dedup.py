@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, quoted, unpacked, written
+from .common import packed, passing, quoted, unpacked, written
 from .components import components
 from .shingles import mix, shingle_set, word_hashes
 
@@ -212,7 +212,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that near_groups does not keep; its columns are unchanged."""
-    lost = written(near_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("lost")).distinct(), "lost")
+    with passing() as kept:
+        lost = kept(near_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("lost")).distinct(), "lost")
     rows = packed(docs, id=F.col(quoted(id_col)).try_cast("long"))
     return unpacked(rows.join(lost, F.col("id") == F.col("lost"), "left_anti"), docs.columns)
 

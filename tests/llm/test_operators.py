@@ -635,3 +635,21 @@ def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
     assert count(stages["bpe"](spark, spark.createDataFrame(made, docs.schema), str(tmp_path)).collect()) == want
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_passing_tables_are_deleted_and_kept_ones_stay(spark):
+    from cellforge.llm import common
+
+    with common.passing() as outer:
+        with common.passing() as inner:
+            gone = common.written(spark.range(3), "gone")
+            stays = inner(gone.where("id > 0"), "stays")
+        assert [r["id"] for r in stays.orderBy("id").collect()] == [1, 2]
+        last = outer(stays.where("id > 1"), "last")
+    assert [r["id"] for r in last.collect()] == [2]
+    assert not any(path.endswith(("-gone", "-stays")) for path in common._written)
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        gone.collect()
+    before = set(common._written)
+    assert near_dedup.drop_near_copies(spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x")], "doc_id long, text string")).count() == 2
+    assert {path.rpartition("-")[2] for path in set(common._written) - before} == {"lost"}
