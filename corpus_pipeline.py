@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cellforge.llm import exact_dedup, language_id, mixing, near_dedup, queries
-from cellforge.llm.common import table, written
+from cellforge.llm.common import passing, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,5 +60,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with passing() as kept:  # what a stage stores on its way goes once its result is there
+            docs = kept(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
