@@ -7,7 +7,10 @@ logistic curve over the difference of the two log-likelihoods, divided by the le
 `sample_rows` of them at most, and a URL that no rule fits is blocked where the curve passes one
 half. URLs are folded to 64 symbols. Orders 0 to 2 are dense counters; of orders 3 and 4 each context
 that occurs has counts of its own, so a model grows with the contexts in the table (64^5 counters at
-most). It is held in memory by the driver and by each worker that scores.
+most). The dense orders are held in memory by the driver and by each worker that scores; those above are
+while they have MOST_CELLS counters at most. Beyond that they stay a table: each run of five symbols is
+scored once, by joins, and a URL's runs are summed. Runs that are more than one in HOT of all, fewer than HOT
+of them, are looked up by broadcast, so no key of the join is hot. Both ways give the same scores.
 
 Results for odd input: a null URL, or one without `://`, has an empty host and path and no rule; a
 null or empty URL has a difference of 0. Where the rules accept or reject nothing, there is nothing
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDER, DENSE = 4, 2  # orders up to DENSE have a counter for each context
 HELD_CELLS = 1 << 21
 SAMPLE_ROWS = 20_000
+MOST_CELLS = 1 << 22  # counters above the dense orders that are held in memory, 64 MiB
+HOT = 1 << 16
 _SYMBOLS = np.full(256, 63, np.int64)  # 63: beyond ASCII; 62: other ASCII
 _SYMBOLS[:128] = 62
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&#:%~+@,;!"):
@@ -168,11 +173,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float,
     return float(t[0]), float(t[1])
 
 
-def fit(ruled: DataFrame, url_col: str = "url", sample_rows: int = SAMPLE_ROWS, seed: int = 23) -> Filter:
-    """ruled: with_rule's output."""
-    known = ruled.where(F.col("ruled").isNotNull() & F.col(url_col).isNotNull())
-    known = known.select(F.col(url_col).alias("url"), (F.col("ruled") == "block").cast("int").alias("label"))
-    apart = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(5)) == 0
+def counted(known: DataFrame) -> DataFrame:
+    """(label, cell, n): how often each counter of each label is met in known (url, label); those of the high orders follow the dense ones."""
     dense = sum(_sizes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +200,13 @@ def fit(ruled: DataFrame, url_col: str = "url", sample_rows: int = SAMPLE_ROWS,
                     held = 0
         yield from counted()
 
-    counts = known.where(~apart).mapInArrow(run, "label int, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()  # a row for each (label, context, symbol) that occurs
+    return known.mapInArrow(run, "label int, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+
+
+def models_of(counts: DataFrame) -> list[Markov | None]:
+    """The models of both labels out of the given counters, which are held in memory."""
+    dense = sum(_sizes())
+    table = counts.toArrow()
     models: list[Markov | None] = [None, None]
     labels, where, n = (table.column(i).to_numpy() for i in range(3))
     for label in (0, 1):
@@ -210,29 +217,139 @@ def fit(ruled: DataFrame, url_col: str = "url", sample_rows: int = SAMPLE_ROWS,
         flat = np.zeros(dense, np.int64)
         flat[cell[:cut]] = times[:cut]
         models[label] = Markov.of(flat, cell[cut:] - dense, times[cut:]) if flat.any() else None
-    out = Filter(*models)
-    if None in models:
+    return models
+
+
+def _apart(seed: int) -> Column:
+    """URLs that calibrate and are not counted."""
+    return F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(5)) == 0
+
+
+def _known(ruled: DataFrame, url_col: str, *more: str) -> DataFrame:
+    known = ruled.where(F.col("ruled").isNotNull() & F.col(url_col).isNotNull())
+    return known.select(F.col(url_col).alias("url"), (F.col("ruled") == "block").cast("int").alias("label"), *more)
+
+
+def _sample(known: DataFrame, sample_rows: int, seed: int) -> DataFrame:
+    """The first few by hash of the URLs that calibrate, an equal share for each label."""
+    parts = [known.where(_apart(seed) & (F.col("label") == label)).orderBy(F.xxhash64(F.lit(seed + 1), "url"), "url").limit(sample_rows // 2) for label in (0, 1)]
+    return parts[0].union(parts[1])
+
+
+def fit(ruled: DataFrame, url_col: str = "url", sample_rows: int = SAMPLE_ROWS, seed: int = 23, counts: DataFrame | None = None) -> Filter:
+    """A filter that is held in memory, all its orders. ruled: with_rule's output; counts: its counters, if known."""
+    known = _known(ruled, url_col)
+    out = Filter(*models_of(counted(known.where(~_apart(seed))) if counts is None else counts))
+    if out.accepted is None or out.rejected is None:
         return out
-    sample = []
-    for label in (0, 1):  # the first few by hash, an equal share for each
-        part = known.where(apart & (F.col("label") == label)).orderBy(F.xxhash64(F.lit(seed + 1), "url"), "url").limit(sample_rows // 2)
-        sample += part.collect()
+    sample = _sample(known, sample_rows, seed).collect()
     x, y = np.array([out.difference(r["url"]) for r in sample]), np.array([r["label"] for r in sample])
     out.slope, out.bias = fit_logistic(x, y)
     return out
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """id, host, path, rule, verdict, score (the chance of a block by the models alone)."""
-    ruled = with_rule(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), F.col("url"), rules)
-    shared = pages.sparkSession.sparkContext.broadcast(fit(ruled))  # grows with the contexts that occur
-
-    @F.pandas_udf("double")
-    def chance(urls):
-        import pandas as pd
+def runs_of(rows: DataFrame) -> DataFrame:
+    """(rid, run, times) of rows (rid, url): each context of the highest order with the symbol after it, as one number."""
 
-        return pd.Series([shared.value.chance_of_block(u) for u in urls], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                ids, runs, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for rid, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    s, before = contexts(url)
+                    found, n = np.unique(before[ORDER] * 64 + s, return_counts=True)
+                    ids.append(np.full(len(found), rid, np.int64))
+                    runs.append(found)
+                    times.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, runs, times)], names=["rid", "run", "times"])
+
+    return rows.select("rid", "url").mapInArrow(run, "rid long, run long, times long")
+
+
+def scored_runs(runs: DataFrame, counts: DataFrame, models: list[Markov]) -> DataFrame:
+    """(run, n, diff): each run that occurs, how often, and its rejected less accepted log-probability."""
+    dense = sum(_sizes())
+    high = counts.where(F.col("cell") >= dense).withColumn("cell", F.col("cell") - dense)
+    of = lambda label, value: F.sum(F.when(F.col("label") == label, value).otherwise(0))
+    times = written(high.groupBy("cell").agg(of(0, F.col("n")).alias("n0"), of(1, F.col("n")).alias("n1")), "times")
+    one = lambda c: (F.col(c) > 0).cast("long")
+    about = times.groupBy(F.floor(F.col("cell") / 64).cast("long").alias("context")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.sum(one("n0")).alias("k0"), F.sum(one("n1")).alias("k1"))
+    about = written(about, "contexts")
+    out = runs.groupBy("run").agg(F.sum("times").alias("n"))
+    facts = []
+    for k in range(DENSE + 1, ORDER + 1):  # a context starts with the symbol just before, so a shorter one is its first digits
+        first = sum(64**j for j in range(DENSE + 1, k))
+        context = F.floor(F.col("run") / 64 ** (ORDER - k + 1)).cast("long") + first
+        cell = context * 64 + F.pmod("run", F.lit(64))
+        mine = [f"{c}_{k}" for c in ("t0", "t1", "k0", "k1", "n0", "n1")]
+        out = out.withColumn("cell", cell).join(times.toDF("cell", *mine[4:]), "cell", "left").drop("cell")
+        out = out.withColumn("context", context).join(about.toDF("context", *mine[:4]), "context", "left").drop("context")
+        facts += mine
+    shared = runs.sparkSession.sparkContext.broadcast(models)  # the dense orders only
 
-    out = ruled.withColumn("score", chance("url"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = dict(zip(batch.schema.names, batch.columns, strict=True))
+            runs = at["run"].to_numpy()
+            s, context, logs = runs % 64, runs // 64, []
+            for label, model in enumerate(shared.value):
+                p = np.full(len(runs), 1 / 64)
+                for k in range(ORDER + 1):
+                    if k <= DENSE:
+                        total, kinds, count = model._seen(k, context // 64 ** (ORDER - k), s)
+                    else:
+                        total, kinds, count = (at[f"{c}{label}_{k}"].to_numpy() for c in ("t", "k", "n"))
+                    p = np.where(total > 0, (count + kinds * p) / np.where(total > 0, total + kinds, 1), p)
+                logs.append(np.log(p))
+            yield pa.RecordBatch.from_arrays([at["run"], at["n"], pa.array(logs[1] - logs[0])], names=["run", "n", "diff"])
+
+    return out.select("run", "n", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in facts)).mapInArrow(run, "run long, n long, diff double")
+
+
+def differences(rows: DataFrame, counts: DataFrame, models: list[Markov], hot: int = HOT) -> DataFrame:
+    """(rid, difference) for each of rows (rid, url) whose URL is not empty: the counters above the dense orders stay a table."""
+    runs = written(runs_of(rows), "runs")
+    known = written(scored_runs(runs, counts, models), "scored")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    often = known.where(F.col("n") > total / hot)  # fewer than `hot` rows
+    met = runs.join(F.broadcast(often.select("run", "diff")), "run", "left")
+    rest = met.where("diff is null").drop("diff").join(known.where(F.col("n") <= total / hot).select("run", "diff"), "run")
+    met = met.where("diff is not null").select("rid", "times", "diff").union(rest.select("rid", "times", "diff"))
+    return met.groupBy("rid").agg((F.sum(F.col("times") * F.col("diff")) / F.sum("times")).alias("difference"))  # a run for each byte
+
+
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, most_cells: int | None = None, seed: int = 23) -> DataFrame:
+    """id, host, path, rule, verdict, score (the chance of a block by the models alone)."""
+    most_cells = MOST_CELLS if most_cells is None else most_cells
+    ruled = with_rule(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), F.col("url"), rules)
+    counts = written(counted(_known(ruled, "url").where(~_apart(seed))), "counts")
+    dense = F.col("cell") < sum(_sizes())
+    out = None
+    if counts.where(~dense).count() > most_cells:
+        models = models_of(counts.where(dense))
+        if None not in models:
+            out = _judged_by_tables(ruled, counts, models, seed)
+    if out is None:
+        shared = pages.sparkSession.sparkContext.broadcast(fit(ruled, seed=seed, counts=counts))  # most_cells counters and the dense ones
+
+        @F.pandas_udf("double")
+        def chance(urls):
+            import pandas as pd
+
+            return pd.Series([shared.value.chance_of_block(u) for u in urls], dtype="float64")
+
+        out = ruled.withColumn("score", chance("url"))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+def _judged_by_tables(ruled: DataFrame, counts: DataFrame, models: list[Markov], seed: int) -> DataFrame:
+    """ruled with score, the counters above the dense orders never held in one place."""
+    rows = written(ruled.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    found = written(differences(rows.where("url is not null"), counts, models), "differences")
+    sample = _sample(_known(rows, "url", "rid"), SAMPLE_ROWS, seed).select("rid", "label")
+    tried = found.join(F.broadcast(sample), "rid", "right").select(F.coalesce("difference", F.lit(0.0)).alias("x"), "label").collect()  # SAMPLE_ROWS at most
+    slope, bias = fit_logistic(np.array([r["x"] for r in tried]), np.array([r["label"] for r in tried]))
+    line = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.coalesce("difference", F.lit(0.0)) * slope + bias))
+    return rows.join(found, "rid", "left").withColumn("score", 1 / (1 + F.exp(-line)))
