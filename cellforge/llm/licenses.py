@@ -1,9 +1,14 @@
-"""License scans: an index of words picks candidates, banded alignment confirms them.
+"""License scans: winnowed fingerprints in an inverted index pick candidates, banded alignment confirms them.
 
-Texts and templates are runs of letters, digits and non-ASCII characters, A-Z as a-z. A place is a
-candidate where as many words of a template as a match needs (each as often as the template has it)
-stand within its length and twice the band; whatever is left out, put in or changed, a match that
-`least` allows is one. Longer fingerprints would miss short templates with a changed middle word.
+Texts and templates are runs of letters, digits and non-ASCII characters, A-Z as a-z. Fingerprints are
+hashes of runs of GRAM words. Of each window of a template's fingerprints the smallest goes into the index, and
+the windows are as wide as the template allows: a match keeps `least` of its words, so with `edits_of`
+words left out, changed or put in (a third of the template's) some run of `sure_run` words is whole, and
+every such run holds a chosen fingerprint. A template of few words so keeps all of them, or single words.
+All fingerprints of a text are looked up. A place is a candidate where one is found, and where as many
+words of the template as a match needs (each as often as the template has it) stand within its length
+and twice the band. A match with more edits than those, which is one with many words put in, is found if a
+fingerprint survives them.
 Around each diagonal of a candidate, those with most words first, the template is aligned inside a
 band (+1 for a word that agrees, -1 for one left out, put in or changed), and reported if the words
 that agree are `least` of the template's. Words of a match are then taken, and the rest is searched
@@ -28,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import PIECE, words_of
+from .shingles import PIECE, mix, words_of
 
 BAND, LEAST = 8, 0.8
+GRAM = 2
 #: License statements to look for: fixed texts.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -70,16 +76,58 @@ def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words_of(data, np.zeros(1, np.int64), _SEPARATOR)
 
 
+def needed(words: int, least: float) -> int:
+    """Words of a template that a match agrees with at least."""
+    return max(1, int(np.ceil(least * words - 1e-9)))
+
+
+def edits_of(words: int) -> int:
+    """Words left out, changed or put in that never hide a match of a template."""
+    return max(2, words // 3)
+
+
+def sure_run(words: int, least: float) -> int:
+    """The longest run of agreeing words that every match with edits_of(words) edits has."""
+    return -(-needed(words, least) // (edits_of(words) + 1))
+
+
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of `size` words."""
+    out = words[: max(0, len(words) - size + 1)]
+    for k in range(1, size):
+        out = mix(out) + words[k : len(words) - size + 1 + k]
+    return out
+
+
+def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash in each window, the last of equals; fewer than a window: of all."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    window = min(window, len(hashes))
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
+    return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
+
+
 @dataclass
 class Index:
     templates: dict[str, str]
+    least: float = LEAST
     names: list[str] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        holders: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for name, text in self.templates.items():
+            w = _tokens(np.frombuffer(text.encode(), np.uint8))[0]
+            run = sure_run(len(w), self.least)
+            size = min(GRAM, run)
+            hashes = grams(w, size)
+            for x in hashes[winnow(hashes, run - size + 1)].tolist():
+                holders[size][x].add(len(self.names))
             self.names.append(name)
-            self.words.append(_tokens(np.frombuffer(text.encode(), np.uint8))[0])
+            self.words.append(w)
+        #: For each size of gram the chosen fingerprints, sorted, and the templates that hold each.
+        self.prints = {size: (np.array(sorted(h), np.uint64), [sorted(h[x]) for x in sorted(h)]) for size, h in sorted(holders.items())}
         self.keys = np.unique(np.concatenate([np.empty(0, np.uint64), *self.words]))
         self.lists = [w.tolist() for w in self.words]
         self.member = [np.isin(self.keys, w) for w in self.words]
@@ -92,19 +140,40 @@ class Index:
             self.places.append(dict(at))
         self.longest = max((len(t.encode()) for t in self.templates.values()), default=0)
 
-    def matches(self, words: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
+    def picked(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """For each template with a fingerprint in the text where those start, in order."""
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for size, (keys, holders) in self.prints.items():
+            hashes = grams(words, size)
+            if not len(hashes):
+                continue
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            where = np.flatnonzero(keys[at] == hashes)
+            codes = at[where]
+            for code in np.unique(codes).tolist():
+                here = where[codes == code]
+                for template in holders[code]:
+                    found[template].append(here)
+        return {template: np.unique(np.concatenate(found[template])) for template in sorted(found)}
+
+    def matches(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(template, words that agree, first and last word) of each match."""
-        if not len(words) or not len(self.keys):
+        picked = self.picked(words)
+        if not picked:
             return
         at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         where = np.flatnonzero(self.keys[at] == words)
         codes = at[where]
-        for template, w in enumerate(self.words):
-            need = max(1, int(np.ceil(least * len(w) - 1e-9)))
-            hits = where[self.member[template][codes]] if len(w) else where[:0]
+        for template, prints in picked.items():
+            m = len(self.words[template])
+            need = needed(m, self.least)
+            hits = where[self.member[template][codes]]
             if len(hits) < need:
                 continue
-            near = np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] < len(w) + 2 * BAND)
+            near = hits[need - 1 :] - hits[: len(hits) - need + 1] < m + 2 * BAND
+            starts = hits[: len(near)]
+            held = np.searchsorted(prints, starts + m + 2 * BAND) > np.searchsorted(prints, starts)  # a fingerprint is in the window
+            near = np.flatnonzero(near & held)
             if len(near):
                 yield from ((template, *match) for match in self._found(template, words, hits, near.tolist(), need))
 
@@ -170,7 +239,7 @@ def align(template: list[int], text: list[int], start: int) -> tuple[int, int, i
     return best if best[1] else None
 
 
-def scan(text: bytes, index: Index, least: float = LEAST) -> list[tuple[str, float, int, int, int]]:
+def scan(text: bytes, index: Index) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, words that agree, first and end byte) of each match, in order of place."""
     data = np.frombuffer(text, np.uint8)
     step = PIECE - 4 * (index.longest + 64 * BAND)
@@ -180,7 +249,7 @@ def scan(text: bytes, index: Index, least: float = LEAST) -> list[tuple[str, flo
     for low in range(0, max(len(data), 1), step):
         piece = data[low : low + PIECE]
         words, first, last = _tokens(piece)
-        for template, agree, a, b in index.matches(words, least):
+        for template, agree, a, b in index.matches(words):
             key = (template, low + int(first[a]), low + int(last[b]) + 1)
             found[key] = max(found.get(key, (0.0, 0)), (agree / len(index.words[template]), agree))
         if low + PIECE >= len(data):
@@ -198,13 +267,13 @@ def scan(text: bytes, index: Index, least: float = LEAST) -> list[tuple[str, flo
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each match: id, license, coverage, matched_words, span_start, span_end (UTF-8 bytes)."""
-    index = Index(templates or TEMPLATES)
+    index = Index(templates or TEMPLATES, least)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, *match) for i, text in enumerate(batch.column(1)) for match in scan(text.as_py(), index, least)]
+            out = [(i, *match) for i, text in enumerate(batch.column(1)) for match in scan(text.as_py(), index)]
             which, names, coverage, agree, a, b = zip(*out, strict=True) if out else [()] * 6
             ids = batch.column(0).take(pa.array(which, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(coverage, pa.float64()), pa.array(agree, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "license", "coverage", "matched_words", "span_start", "span_end"])

@@ -497,6 +497,17 @@ def test_ann_recall_with_many_lists(spark):
     assert hits >= 0.98 * 10 * len(got) and len(got) == 200
 
 
+def test_urls_by_tables_score_as_in_memory(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = [(-1, None), (-2, ""), (-3, "no scheme"), (-4, "http://\u00e9.org/\u4e2d"), (-5, "x" * 70_000), (None, "http://a.b/c"), (None, "http://a.b/c")]
+    pages = pages.union(spark.createDataFrame(odd, pages.schema)).union(pages.limit(20))
+    key = lambda rows: sorted(((r["page_id"] or 0, r["host"], r["path"], r["rule"] or "", r["verdict"], r["score"]) for r in rows))
+    held, tables = (key(url_filter.judged(pages, most_cells=most).collect()) for most in (1 << 30, 0))
+    assert [r[:-1] for r in held] == [r[:-1] for r in tables]
+    assert np.allclose([r[-1] for r in held], [r[-1] for r in tables], rtol=0, atol=1e-9)
+    assert url_filter.judged(pages.limit(0), most_cells=-1).count() == 0
+
+
 def test_licenses(spark, docs):
     filler = " ".join(f"word{i}" for i in range(300))
     texts = {
@@ -565,6 +576,20 @@ def test_licenses_against_alignment_at_every_offset():
     assert 30 < agreed < 140
 
 
+def test_license_fingerprints_are_winnowed_and_hit_every_sure_run():
+    index = licenses.Index(licenses.TEMPLATES)
+    chosen = everything = 0
+    for template, words in enumerate(index.words):
+        run = licenses.sure_run(len(words), index.least)
+        for at in range(len(words) - run + 1):
+            assert template in index.picked(words[at : at + run]), (index.names[template], at)
+        hashes = licenses.grams(words, min(licenses.GRAM, run))
+        chosen, everything = chosen + len(licenses.winnow(hashes, run - min(licenses.GRAM, run) + 1)), everything + len(hashes)
+    assert chosen < 0.8 * everything
+    tiny = licenses.Index({"one": "alpha", "three": "beta gamma delta", "none": ""})
+    assert [r[0] for r in licenses.scan(b"x alpha y beta gamma delta", tiny)] == ["one", "three"]
+
+
 def test_the_best_of_templates_on_the_same_words():
     index = licenses.Index(licenses.TEMPLATES)
     for name, text in licenses.TEMPLATES.items():
