@@ -72,8 +72,11 @@ def run(spark: SparkSession, request: Request, stdin: BinaryIO | None = None) ->
     handler = sinks.audit_log(r.log, [p for p in (r.input, r.output, r.keyfile, r.value_file) if p]) if r.log else None
     log.info("request %r", r)
     try:
-        with sinks.refusals():
-            yield from _run(spark, r, stdin)
+        try:
+            with sinks.refusals():
+                yield from _run(spark, r, stdin)
+        except EngineError as e:
+            raise _first_fault(spark, r, e) from e.__cause__
         log.info("done %s", r.output or r.input or "")
     except BaseException as e:
         log.error("failed: %s", e.code if isinstance(e, EngineError) else type(e).__name__)
@@ -84,6 +87,14 @@ def run(spark: SparkSession, request: Request, stdin: BinaryIO | None = None) ->
             handler.close()
 
 
+def _first_fault(spark: SparkSession, r: Request, fault: EngineError) -> EngineError:
+    """Of several faults in a file the one that stands first, whichever task failed first."""
+    if fault.__cause__ is None or not r.input or r.stdin or r.from_markdown:
+        return fault
+    table = index.open_indexed(spark, r.input, r.headers, not r.no_index, truncate_partial=r.truncate_partial)
+    return table.first_fault() or fault if len(table.splits) > 1 else fault
+
+
 def _run(spark: SparkSession, r: Request, stdin: BinaryIO | None) -> Iterator[bytes]:
     if r.create:
         sinks.create(r.output, *(t if isinstance(t, bytes) else t.encode() for t in r.create))

@@ -117,6 +117,7 @@ class StrictReader(DataSourceReader):
         self.size, self.widths, self.truncate = plan["size"], plan["widths"], plan["truncate"]
         self.vouched, self.needle = plan["vouched"], bytes.fromhex(options.get("needle", ""))
         self.low, self.high = int(options.get("low", 1)), int(options.get("high", LAST))
+        self.only_faults = "faults" in options
 
     def __getstate__(self) -> dict:
         """What travels to every task: not the splits, of which each task gets its own."""
@@ -130,9 +131,15 @@ class StrictReader(DataSourceReader):
         if part.split is None:
             return
         try:
-            yield from self._read(part.split)
+            for batch in self._read(part.split):
+                if not self.only_faults:
+                    yield batch
         except EngineError as e:
-            raise e.for_travel() from None
+            if not self.only_faults:
+                raise e.for_travel() from None
+            s, kinds = part.split, [pa.int64()] * 3 + [pa.list_(pa.binary())] * 2
+            row = (s.record, s.line, s.start, [t.encode() for t in (e.code, e.message, e.message_zh)], None)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=NAMES)
 
     def _read(self, s: Split) -> Iterator[pa.RecordBatch]:
         with open_file(self.path) as f:
@@ -312,6 +319,7 @@ class Table:
     open_end: bool = False
     load: Callable[..., DataFrame] | None = None
     known: int | None = None  # number of records, where load is gone
+    faults: Callable[[], DataFrame] | None = None  # a row for each split of the file with a fault
 
     def column(self, token: str | int) -> Column:
         return F.col("fields")[self.header.resolve(token)]
@@ -326,6 +334,11 @@ class Table:
             return data_records(self.splits, len(self.header.rows))
         return self.df.count() if self.known is None else self.known
 
+    def first_fault(self) -> EngineError | None:
+        """The file's first fault, whichever task would meet one first."""
+        found = self.faults().orderBy("offset").select("fields").first() if self.faults else None
+        return EngineError(*(bytes(t).decode() for t in found["fields"])) if found else None
+
     def holding(self, needle: bytes) -> DataFrame:
         """df, possibly without records that do not hold the needle. It is no substitute for the search."""
         return self.load(needle) if self.load and can_look_ahead(needle) else self.df
@@ -367,11 +380,12 @@ def open_table(spark: SparkSession, path: str, headers: int | None = None, split
     text = json.dumps(plan, separators=(",", ":"))
     spark.dataSource.register(StrictSource)
 
-    def load(needle: bytes = b"", low: int = 1, high: int = LAST) -> DataFrame:
-        options = {"path": path, "plan": text, "needle": needle.hex(), "low": str(max(low, 1)), "high": str(high)}
+    def load(needle: bytes = b"", low: int = 1, high: int = LAST, **more: str) -> DataFrame:
+        options = {"path": path, "plan": text, "needle": needle.hex(), "low": str(max(low, 1)), "high": str(high)} | more
         return spark.read.format("strictcsv").options(**options).load()
 
-    return Table(load(), header, format, path, tuple(found), True, bool(size) and last_byte(path, size) != b"\n", load)
+    open_end = bool(size) and last_byte(path, size) != b"\n"
+    return Table(load(), header, format, path, tuple(found), True, open_end, load, faults=lambda: load(faults="only"))
 
 
 def last_byte(path: str, size: int) -> bytes:

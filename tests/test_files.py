@@ -269,3 +269,19 @@ def _sealed(spark, path, secret, tmp_path):
     sealed = str(tmp_path / "sealed.csv")
     sinks.write_table(protect.encrypted(open_table(spark, path), "b", secret), sealed)
     return sealed
+
+
+def test_the_first_of_several_faults_is_told(spark, tmp_path, monkeypatch):
+    rows = [b"%d,x" % i for i in range(1, 401)]
+    rows[120], rows[300], rows[399] = b"121,x,y", b"301", b"400,x,y,z"
+    path = file(tmp_path, b"a,b\n" + b"\n".join(rows) + b"\n")
+    table = open_table(spark, path, split_bytes=256)
+    assert len(table.splits) > 5 and table.faults().count() == 3
+    assert table.first_fault().code == "ragged" and "record 121 " in table.first_fault().message
+    small = lambda *a, **kw: table
+    monkeypatch.setattr(index, "open_indexed", small)
+    for kw in ({}, {"contains": "no such"}, {"contains": "x", "filter": True}):
+        with pytest.raises(EngineError) as e:
+            out(spark, input=path, **kw)
+        assert e.value.code == "ragged" and "record 121 (line 122)" in e.value.message
+    assert open_table(spark, file(tmp_path, b"a,b\n1,2\n3,4\n", "good.csv"), split_bytes=5).first_fault() is None
